@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import leaks
 from .exact_dedup import exact_dedup
+from .language_id import languages
 from .packing import pack
 from .secret_scan import secret_spans
+from .simhash import near_duplicates
 from .token_counts import token_counts
+from .toxicity import toxicity
+from .url_filter import judged
+from .warc import archived
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +29,34 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_row")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -45,7 +75,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_language_id": op3_language_id,
         "op4_token_counts": op4_token_counts,
+        "op5_decontamination": op5_decontamination,
+        "op6_simhash": op6_simhash,
+        "op7_url_filter": op7_url_filter,
+        "op8_toxicity": op8_toxicity,
+        "op9_warc": op9_warc,
         "op10_packing": op10_packing,
     }
 
