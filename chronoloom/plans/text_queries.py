@@ -74,9 +74,9 @@ def f13_language_leak(spark, sf_dir):
     return own.select("doc_id", "lang", leak.alias("leak"))
 
 
-@query(r"SELECT doc_id, length(regexp_replace(text[1:4], '[^\p{L}]', '', 'g')) < 3 AS neutral FROM documents")
+@query(r"SELECT doc_id, length(regexp_replace(text, '[^\p{L}]', '', 'g')) < 3 AS neutral, len(list_filter(string_split(text, ' '), lambda w: length(regexp_replace(w, '[^\p{L}]', '', 'g')) < 3)) AS neutral_words FROM documents")
 def f14_neutral(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.neutral(F.substring("text", 1, 4)).alias("neutral"))
+    return documents(spark, sf_dir).select("doc_id", text.neutral(F.col("text")).alias("neutral"), F.size(F.filter(F.split("text", " "), text.neutral)).cast("long").alias("neutral_words"))
 
 
 @query("SELECT event_id, (floor(value)::BIGINT // 60)::VARCHAR || ':' || lpad((floor(value)::BIGINT % 60)::VARCHAR, 2, '0') AS clock, (floor(value * 100 + 0.5)::BIGINT // 360000)::VARCHAR || ':' || lpad((floor(value * 100 + 0.5)::BIGINT // 6000 % 60)::VARCHAR, 2, '0') || ':' || lpad((floor(value * 100 + 0.5)::BIGINT // 100 % 60)::VARCHAR, 2, '0') || '.' || lpad((floor(value * 100 + 0.5)::BIGINT % 100)::VARCHAR, 2, '0') AS subtitle FROM events")
