@@ -10,7 +10,7 @@ from ..functions.text import subtitle_clock
 
 def subtitle_lines(captions: DataFrame, by: list[str], style: str = "Default") -> DataFrame:
     """by, start and line: a dialogue line for each caption (start, end, text); line breaks become \\N and braces go."""
-    text = F.regexp_replace(F.regexp_replace("text", "[{}]", ""), r"\r?\n", r"\\\\N")
+    text = F.regexp_replace(F.regexp_replace("text", "[{}]", ""), r"\r?\n", r"\\N")
     line = F.concat(F.lit("Dialogue: 0,"), subtitle_clock(F.col("start")), F.lit(","), subtitle_clock(F.col("end")), F.lit(f",{style},,0,0,0,,"), text)
     return captions.select(*by, "start", line.alias("line"))
 
