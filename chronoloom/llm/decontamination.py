@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,97 +26,204 @@ from .exact_dedup import keep_rows
 WINDOW, LITERAL, SHARE = 8, 4, 0.5
 #: An item shorter than a window is one window; below SHORTEST words it is not searched.
 SHORTEST = 5
-NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundred|thousand|million")
-UNIT = re.compile(r"[µcdkmM]?(?:m|g|l|s|W|V|Hz|J|Pa)|km/h|mph|miles?|yards?|feet|foot|inch(?:es)?|ft|lbs?|pounds?|ounces?|oz|tons?|kilo(?:gram|meter|metre)s?|(?:centi|milli)?(?:meter|metre)s?|(?:milli)?(?:liter|litre)s?|grams?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|%|degrees?")
+#: Words that are numbers, and units (also with the usual prefixes and plurals).
+NUMBERS = "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
+SYMBOLS = [p + u for p in ("", "m", "c", "k", "d") for u in ("m", "g", "l", "s", "w", "v", "hz", "j", "pa")]
+LONG = [p + u for p in ("", "kilo", "centi", "milli") for u in ("meter", "metre", "gram", "liter", "litre", "second", "watt")]
+UNITS = SYMBOLS + [x + e for x in [*LONG, "mile", "yard", "pound", "ounce", "ton", "minute", "hour", "day", "week", "month", "year", "dollar", "euro", "cent", "degree"] for e in ("", "s")] + ["mph", "km/h", "feet", "foot", "inch", "inches", "ft", "lb", "lbs", "oz", "percent", "min", "h"]
 #: Within a word a number with a unit attached.
-BOTH = re.compile(r"([+-]?\d[\d.,]*)([A-Za-zµ%]+)")
-STRIP = ".,;:!?\"'()[]{}<>|*_«»„“”"
-ENDS = (".", "!", "?", ":")
-#: Hashes of the placeholders, and the base of the window hash.
+BOTH = re.compile(r"[+-]?[0-9][0-9.,]*([a-z/]+)")
+#: Hashes of the placeholders, what word and window hashes multiply by, and its inverse.
 NUM, UNT, NAME, BASE = (np.uint64(x) for x in (0x6E756D0000000001, 0x756E740000000003, 0x6E616D0000000005, 0x9E3779B97F4A7C15))
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BITMAP = 22
-WORDS = 300_000
-BLOCK = 1 << 18
-
-
-class Templates:
-    """Turns texts into template words; each distinct word is looked at once."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-        self.core: list[str] = []
-        self.flags: list[tuple[int, bool, bool, bool, bool]] = []
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > WORDS:
-            self.__init__()
-        for w in words - self.known.keys():
-            core = w.strip(STRIP)
-            number = bool(NUMBER.fullmatch(core.lower()) or (m := BOTH.fullmatch(core)) and UNIT.fullmatch(m[2]))
-            self.known[w] = len(self.core)
-            self.core.append(core)
-            self.flags.append((xxhash.xxh64_intdigest(core.lower().encode(), 7), core[:1].isupper(), number, bool(UNIT.fullmatch(core)), w.rstrip("\"')»”").endswith(ENDS)))
-
-    def __call__(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """For each word its core, its template's hash and whether it fills a slot; the words without a core are left out."""
-        words = text.split()
-        self.learn(set(words))
-        flags = [self.flags[i] for i in map(self.known.__getitem__, words)]
-        if not flags:
-            return [], np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.uint64)
-        hashed, upper, number, unit, ends = (np.array(x, t) for x, t in zip(zip(*flags, strict=True), (np.uint64, bool, bool, bool, bool), strict=True))
-        first = np.concatenate(([True], ends[:-1]))
-        unit &= np.concatenate(([False], number[:-1]))
-        name = upper & ~first & ~number & ~unit
-        template = np.where(number, NUM, np.where(unit, UNT, np.where(name, NAME, hashed)))
-        core = [self.core[self.known[w]] for w in words]
-        full = np.array([bool(x) for x in core])
-        return [x for x in core if x], template[full], (number | unit | name)[full], hashed[full]
-
-
-def window_hashes(template: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(max(0, len(template) - n + 1), np.uint64)
-    for j in range(n):
-        out = (out + template[j : j + len(out)]) * BASE
-        out ^= out >> np.uint64(31)
+#: Bytes of texts that are looked at together, and words of a long text.
+GROUP, WORDS = 1 << 20, 1 << 17
+
+
+def marked(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[np.frombuffer(chars, np.uint8)] = True
+    return out
+
+
+SPACE, STRIP, ENDS = marked(b" \t\n\r\x0b\x0c"), marked(b".,;:!?\"'()[]{}<>|*_-"), marked(b".!?:")
+DIGIT, NUMERIC = marked(b"0123456789"), marked(b"0123456789.,:/%+-$")
+CAPITAL = marked(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+LOWER = (np.arange(256) + 32 * CAPITAL).astype(np.uint8)
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def before(mask: np.ndarray) -> np.ndarray:
+    """How many are set before each place, and at last in all."""
+    out = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=out[1:])
+    return out
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+@dataclass
+class Block:
+    """Words of some texts, those without a core left out: where a core begins and ends in raw, its template's hash, whether it fills a slot, its text and its place there."""
+
+    raw: bytes
+    first: np.ndarray
+    last: np.ndarray
+    template: np.ndarray
+    slot: np.ndarray
+    doc: np.ndarray
+    at: np.ndarray
+    own: np.ndarray  # whether windows that begin here belong to this block
+
+    def starts(self, n: int) -> np.ndarray:
+        """The windows of n words inside one text with enough literal words, by their first word."""
+        if len(self.doc) < n:
+            return np.empty(0, np.int64)
+        literal = before(~self.slot)
+        return np.flatnonzero(self.own[: len(self.doc) - n + 1] & (self.doc[: len(self.doc) - n + 1] == self.doc[n - 1 :]) & (literal[n:] - literal[:-n] >= LITERAL))
+
+    def hashes(self, n: int) -> np.ndarray:
+        out = np.zeros(max(0, len(self.template) - n + 1), np.uint64)
+        for j in range(n):
+            out = (out + self.template[j : j + len(out)]) * BASE
+            out ^= out >> np.uint64(31)
+        return out
+
+    def window(self, i: int, n: int) -> tuple[str, list[str]]:
+        """The template text and the slots' values of a window."""
+        kinds = {int(NUM): "<number>", int(UNT): "<unit>", int(NAME): "<name>"}
+        cores = [lowered(self.raw[a:b]).decode() for a, b in zip(self.first[i : i + n].tolist(), self.last[i : i + n].tolist(), strict=True)]
+        slot = self.slot[i : i + n].tolist()
+        text = " ".join(kinds[int(self.template[i + j])] if slot[j] else cores[j] for j in range(n))
+        return text, [c for c, s in zip(cores, slot, strict=True) if s]
+
+
+def lowered(raw: bytes) -> bytes:
+    """ASCII and Latin-1 capitals in lower case."""
+    return low_bytes(np.frombuffer(raw, np.uint8)).tobytes()
+
+
+def low_bytes(raw: np.ndarray) -> np.ndarray:
+    low = LOWER[raw]
+    latin = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    low[1:][latin] += 0x20
+    return low
+
+
+def words_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of raw[first:last] for each word, the same wherever the word stands."""
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(raw)), out=sums[1:])
+    return mixed((sums[last] - sums[first]) * powers(INVERSE, len(raw) + 1)[first])
+
+
+def listed(words: list[str]) -> np.ndarray:
+    raw = " ".join(words).encode()
+    ends = np.cumsum([len(x) + 1 for x in words]) - 1
+    return np.sort(words_hashes(np.frombuffer(raw, np.uint8), np.concatenate(([0], ends[:-1] + 1)), ends))
+
+
+NUMBER_HASHES, UNIT_HASHES = listed(NUMBERS), listed(UNITS)
+
+
+def among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each is one of a short sorted list: a table of upper bits first, then the search."""
+    table = np.zeros(1 << 16, bool)
+    table[known >> np.uint64(48)] = True
+    out = table[hashes >> np.uint64(48)]
+    some = np.flatnonzero(out)
+    at = np.minimum(np.searchsorted(known, hashes[some]), len(known) - 1)
+    out[some] = known[at] == hashes[some]
     return out
 
 
-def window_rows(core: list[str], template: np.ndarray, slot: np.ndarray, n: int, at: np.ndarray) -> tuple[list[str], list[list[str]]]:
-    """The template text and the slots' values of the windows at."""
-    kinds = {int(NUM): "<number>", int(UNT): "<unit>", int(NAME): "<name>"}
-    texts, slots = [], []
-    for i in at.tolist():
-        texts.append(" ".join(kinds[int(template[j])] if slot[j] else core[j].lower() for j in range(i, i + n)))
-        slots.append([core[j].lower() for j in range(i, i + n) if slot[j]])
-    return texts, slots
+def block(raw: bytes, starts: np.ndarray, ends: np.ndarray, until: np.ndarray, doc: np.ndarray, own: np.ndarray) -> Block:
+    """raw's words, given by starts and ends, as templates; until is where the next one starts, doc whose each is. Places are counted by the caller."""
+    data = np.frombuffer(raw, np.uint8)
+    inner = ~(SPACE | STRIP)[data]
+    core, places, sentence = before(inner), np.flatnonzero(inner), before(ENDS[data])
+    first, last = places[core[starts]], places[core[ends] - 1] + 1
+    ended = sentence[until] > sentence[last]
+    opens = np.concatenate(([True], ended[:-1] | (doc[1:] != doc[:-1])))
+    hashed = words_hashes(low_bytes(data), first, last)
+    digits, numeric = before(DIGIT[data]), before(NUMERIC[data])
+    number = (digits[last] > digits[first]) & (numeric[last] - numeric[first] == last - first) | among(hashed, NUMBER_HASHES)
+    for i in np.flatnonzero(DIGIT[data[first]] & ~number).tolist():
+        m = BOTH.fullmatch(lowered(raw[first[i] : last[i]]).decode(errors="replace"))
+        number[i] = bool(m) and m[1] in UNITS
+    after = np.concatenate(([False], number[:-1] & (doc[1:] == doc[:-1])))
+    unit = after & ~number & among(hashed, UNIT_HASHES)
+    second = data[np.minimum(first + 1, len(data) - 1)]
+    capital = CAPITAL[data[first]] | (data[first] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
+    name = capital & ~opens & ~number & ~unit
+    template = np.where(number, NUM, np.where(unit, UNT, np.where(name, NAME, hashed)))
+    return Block(raw, first, last, template, number | unit | name, doc, np.empty(0, np.int64), own)
 
 
-def literal_enough(slot: np.ndarray, n: int) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(~slot)))
-    return total[n:] - total[:-n] >= LITERAL if len(slot) >= n else np.empty(0, bool)
+def blocks(texts: list[str]) -> Iterator[Block]:
+    """The words of texts in blocks of bounded size; doc is the index of the text. A block of a long text has the words around its own as context."""
+    raw = [x.encode() for x in texts]
+    i = 0
+    while i < len(raw):
+        j, size = i + 1, len(raw[i])
+        while j < len(raw) and size + len(raw[j]) <= GROUP:
+            size += len(raw[j])
+            j += 1
+        joined = b" ".join(raw[i:j])
+        data = np.frombuffer(joined, np.uint8)
+        space = np.concatenate(([True], SPACE[data], [True]))
+        starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+        if len(starts):
+            full = np.add.reduceat(~(SPACE | STRIP)[data], starts, dtype=np.int32) > 0
+            starts, ends = starts[full], ends[full]
+        edges = np.cumsum([len(x) + 1 for x in raw[i:j]])
+        doc = np.searchsorted(edges, starts, "right") + i
+        until = np.append(starts[1:], len(joined))
+        done = 0
+        for k in range(0, len(starts), WORDS):
+            low, high, to = max(0, k - 1), min(len(starts), k + WORDS), min(len(starts), k + WORDS + WINDOW)
+            a = starts[low]
+            mine = np.zeros(to - low, bool)
+            mine[k - low : high - low] = True
+            out = block(joined[a : until[to - 1]], starts[low:to] - a, ends[low:to] - a, until[low:to] - a, doc[low:to], mine)
+            ahead = int(np.argmax(out.own)) if out.own.any() else len(out.own)
+            place = np.arange(len(out.doc)) - ahead + done
+            if j - i > 1:
+                place -= np.searchsorted(out.doc, out.doc)
+            out.at = place
+            done += int(out.own.sum())
+            yield out
+        i = j
 
 
 def item_windows(items: DataFrame) -> DataFrame:
     """item_id, n, at, hash, template and slots for each window of the items that has enough literal words."""
     schema = "item_id long, n int, at long, hash long, template string, slots array<string>"
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Templates()
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                core, template, slot, _ = words(text or "")
-                n = min(WINDOW, len(core))
-                if n < SHORTEST:
-                    continue
-                at = np.flatnonzero(literal_enough(slot, n))
-                texts, slots = window_rows(core, template, slot, n, at)
-                found = window_hashes(template, n)[at].view(np.int64).tolist()
-                for column, more in zip(out, ([item_id] * len(at), [n] * len(at), at.tolist(), found, texts, slots), strict=True):
-                    column += more
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["item_id", "n", "at", "hash", "template", "slots"])
+            ids, rows = batch.column(0).to_pylist(), []
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            size = np.zeros(len(texts), np.int64)
+            for b in blocks(texts):
+                np.add.at(size, b.doc[b.own], 1)
+            for b in blocks(texts):
+                for n in range(SHORTEST, WINDOW + 1):
+                    hashed = b.hashes(n)
+                    for i in b.starts(n).tolist():
+                        if min(WINDOW, size[b.doc[i]]) == n:
+                            rows.append((ids[b.doc[i]], n, int(b.at[i]), int(hashed[i].view(np.int64)), *b.window(i, n)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["item_id", "n", "at", "hash", "template", "slots"])
 
     return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, schema)
 
@@ -124,26 +231,22 @@ def item_windows(items: DataFrame) -> DataFrame:
 def document_windows(docs: DataFrame, lengths: list[int], places: np.ndarray) -> DataFrame:
     """doc_id, _row, n, at, hash, template and slots for each window of the documents whose place in the bitmap is taken."""
     schema = "doc_id long, _row long, n int, at long, hash long, template string, slots array<string>"
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()))
     bits = np.zeros(1 << BITMAP, np.uint8)
     bits[places] = 1
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))  # 2 ** BITMAP bits, whatever the benchmark's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, taken = Templates(), np.unpackbits(shared.value).astype(bool)
+        taken = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for doc_id, row, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                core, template, slot, _ = words(text.as_py() or "")
+            ids, numbers, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for b in blocks([x or "" for x in batch.column(2).to_pylist()]):
                 for n in lengths:
-                    found = window_hashes(template, n)
-                    at = np.flatnonzero(taken[found >> np.uint64(64 - BITMAP)] & literal_enough(slot, n)) if len(found) else np.empty(0, np.int64)
-                    if not len(at):
-                        continue
-                    texts, slots = window_rows(core, template, slot, n, at)
-                    for column, more in zip(out, ([doc_id.as_py()] * len(at), [row.as_py()] * len(at), [n] * len(at), at.tolist(), found[at].view(np.int64).tolist(), texts, slots), strict=True):
-                        column += more
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["doc_id", "_row", "n", "at", "hash", "template", "slots"])
+                    hashed = b.hashes(n)
+                    at = b.starts(n)
+                    for i in at[taken[hashed[at] >> np.uint64(64 - BITMAP)]].tolist():
+                        rows.append((ids[b.doc[i]], numbers[b.doc[i]], n, int(b.at[i]), int(hashed[i].view(np.int64)), *b.window(i, n)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "_row", "n", "at", "hash", "template", "slots"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), "text")
     return rows.mapInArrow(run, schema)
@@ -159,7 +262,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     own = cut(item_windows(items.select("item_id", "text").distinct()))
     lengths = sorted(r[0] for r in own.select("n").distinct().collect())
     taken = own.select(F.shiftrightunsigned("hash", 64 - BITMAP).cast("int").alias("place")).distinct().collect()  # at most 2 ** BITMAP
-    found = document_windows(docs, lengths, np.array([r[0] for r in taken], np.int64))
+    found = cut(document_windows(docs, lengths, np.array([r[0] for r in taken], np.int64)))
     total = own.groupBy("item_id").agg(F.count("*").alias("item_windows"))
     wanted = own.select("hash", F.struct("item_id", "at", "template", "slots").alias("_item"))
     matched = lookup(found, wanted, ["hash"], F.struct("_row", "at")).where("_item.template = template")
