@@ -50,6 +50,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one if df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lookup(rows: DataFrame, values: DataFrame, key: list[str], spread: Column) -> DataFrame:
     """rows with the columns of values for their key (a left join; values has a key once at most).
 

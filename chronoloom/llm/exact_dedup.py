@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RUNS, ascii_lower, cut
+from .common import RUNS, ascii_lower, cut, free_name
 
 #: So many runs merge into one in a round.
 FAN_IN = 8
@@ -68,5 +68,6 @@ def drop_exact(docs: DataFrame) -> DataFrame:
 
 def keep_rows(docs: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of docs whose number is in rows (left_anti: is not). The numbers are hashed, so texts move once and aren't sorted."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(rows.hint("shuffle_hash"), "_row", how).drop("_row")
+    own = free_name(docs, "_row")
+    numbered = docs.withColumn(own, F.monotonically_increasing_id())
+    return numbered.join(rows.select(F.col("_row").alias(own)).hint("shuffle_hash"), own, how).drop(own)
