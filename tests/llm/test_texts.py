@@ -1,0 +1,153 @@
+"""Secrets, tokens, packing and language: against naive code, the tokenizers library and held-out rows."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from chronoloom.llm import bpe, language_id, packing, secret_scan, token_counts
+
+SCHEMA = "doc_id long, text string, lang string, score string, n_tokens int, _row int"
+ODD = ["", " ", "a  b", " a ", "a\n b\n\n c", "<|endoftext|>", "x<|endoftext|> y", "　z", "don't 'S we'll", "é" * 80 + " " + "漢字" * 40, "\x00 \x1c a\u0085b", "w" * 3000, "a b " * 9000, "😀 ok 👩‍👩‍👧"]
+
+
+@pytest.fixture(scope="module")
+def library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf):
+    return [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+
+
+def frame(spark, texts):
+    rows = [(i, x, None, "s", 1, 7) for i, x in enumerate(texts)]
+    return spark.createDataFrame([*rows, (None, None, None, None, None, None), rows[0], rows[0]], SCHEMA)
+
+
+def test_ids_are_the_librarys(library, texts):
+    for x in [*texts, *ODD]:
+        assert bpe.ids(x).tolist() == library.encode(x, add_special_tokens=False).ids
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Bc", " ", "  ", "\n", "é", "漢", "'s", "12", "...", "<|endoftext|>", "\t", " the", " of"]), max_size=80), st.integers(1, 40), st.integers(1, 9))
+def test_splicing_changes_nothing(parts, chunk, overlap):
+    text = "".join(parts)
+    assert token_counts.spliced(text, chunk=chunk, overlap=min(overlap, chunk)).tolist() == bpe.ids(text).tolist()
+
+
+def test_splicing_without_spaces():
+    text = "ab1" * 500
+    assert token_counts.spliced(text, chunk=50, overlap=5).tolist() == bpe.ids(text).tolist()
+
+
+def test_token_counts(spark, library):
+    got = token_counts.token_counts(frame(spark, ODD)).collect()
+    assert len(got) == len(ODD) + 3
+    for r in got:
+        x = ODD[r.doc_id] if r.doc_id is not None else ""
+        n = len(library.encode(x, add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(x.encode()), n, n > 512)
+    assert token_counts.token_counts(frame(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_packing_is_a_round_trip(spark, library, texts):
+    every = [*texts, *ODD]
+    rows = packing.pack(frame(spark, every)).collect()
+    whole = {i: [*library.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(every)}
+    seen: dict = {}
+    for r in rows:
+        ids = whole.get(r.doc_id, [0])
+        assert r.doc_tokens == len(ids) and 0 < r.length <= 1024
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        seen.setdefault(r.doc_id, []).append((r.start, r.length))
+    for doc_id, pieces in seen.items():
+        copies = 3 if doc_id == 0 else 1
+        at = 0
+        for start, n in sorted(pieces) if copies == 1 else []:
+            assert start == at
+            at += n
+        assert sum(k for _, k in pieces) == copies * len(whole.get(doc_id, [0]))
+    assert set(seen) == {*whole, None}
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in by.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at <= 1024
+    total = sum(r.length for r in rows)
+    assert 1024 * (len(by) - 4) < 1.03 * total
+    assert packing.pack(frame(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_cuts_cost_least():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        at = np.concatenate(([0], np.cumsum(rng.integers(1, 5, 12))))
+        penalty = rng.integers(0, 6, 13)
+        got = packing.best_cuts(at, penalty, 10)
+        cost = lambda c: sum(10 - (b - a) + int(penalty[list(at).index(b)]) for a, b in zip(c, c[1:]))
+        every = [[0, *(int(at[i + 1]) for i in range(11) if m >> i & 1), int(at[-1])] for m in range(1 << 11)]
+        best = min(cost(c) for c in every if all(b - a <= 10 for a, b in zip(c, c[1:])))
+        assert all(b - a <= 10 for a, b in zip(got, got[1:])) and cost(got) == best
+
+
+def naive_spans(text):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 8:
+            out.append((m.start(), 0, m.end()))
+    for k, p, n in ((1, "AKIA[A-Z0-9]+", 16), (2, "[0-9a-f]+", 32)):
+        out += [(m.start(), k, m.end()) for m in re.finditer(p, text) if len(m[0]) >= n]
+    return sorted(out)
+
+
+RANDOM = "kJ8xQz2Lw9RtVb4NmY7pXc3D"
+CRAFTED = [
+    "password: hunter2hunter2", "token=a.token:abcdefgh", "API_KEY = 'short'", "apikey==" + "x" * 9, "AKIA" + "A" * 12, "AKIA" + "A" * 11, "AKIAKIA" + "B" * 12, "0" * 32, "é" * 5 + "deadbeef" * 4 + "g",
+    "Secret\"  :  \"abc/def+ghi", f"key {RANDOM} end", "12345678-1234-1234-1234-123456789abc", "thethethethethethethethethethe", "d" * 40, "1" * 40, "", "toKen: ſecretſecret", "a" * 200_000 + f" {RANDOM}",
+]
+
+
+def test_secrets(spark, texts):
+    every = [*CRAFTED, *texts]
+    got = {r.doc_id: r for r in secret_scan.secret_spans(frame(spark, every)).collect()}
+    for i, x in enumerate(every):
+        base = naive_spans(x)
+        assert [got[i][c] for c in ("n_assign", "n_access", "n_hex")] == [sum(k == j for _, k, _ in base) for j in range(3)]
+        assert got[i].base_sha256 == hashlib.sha256(secret_scan.joined(base).encode()).hexdigest()
+        assert [s for s in got[i].spans.split(",") if s and not s.startswith("random")] == [s for s in secret_scan.joined(base).split(",") if s]
+    assert got[10].spans == f"random:4:{4 + len(RANDOM)}" and got[17].n_random == 1
+    assert all(got[i].n_random == 0 for i in (11, 12, 13, 14))
+    assert got[None].spans == "" and secret_scan.secret_spans(frame(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_languages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = language_id.languages(docs).toPandas().merge(docs.toPandas()[["doc_id", "lang", "text"]], on="doc_id")
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
+    own = got[got.held_out]
+    assert len(own) > 20 and (own.lang == own.lang_pred).mean() >= 0.95
+    assert got.score.between(0, 1).all()
+
+
+def test_languages_of_odd_rows(spark):
+    rows = [(i, t, v, None, None, None) for i, (t, v) in enumerate([("the cat sat on the mat", "en"), ("der hund und die katze", "de"), ("12 !! 34", "en"), (None, "de"), ("", None), ("ok", None)] * 4)]
+    got = {r.doc_id: r for r in language_id.languages(spark.createDataFrame([*rows, (None, "der hund", "de", None, None, None)], SCHEMA)).collect()}
+    assert got[2].lang_pred == got[3].lang_pred == got[4].lang_pred == "und" and got[3].score == 0
+    assert got[None].held_out is True and got[5].lang_pred in ("de", "en")
+    unknown = language_id.languages(spark.createDataFrame([(1, "text", None, None, None, None)], SCHEMA)).first()
+    assert (unknown.lang_pred, unknown.score) == ("und", 0.0)
+    assert language_id.languages(spark.createDataFrame([], SCHEMA)).count() == 0
