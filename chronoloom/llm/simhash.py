@@ -27,8 +27,8 @@ from .graph import components
 WORDS, BITS = 4, 4
 #: For verified groups: shingles of so many words, their least similarity, and what the sketch may miss it by (two standard errors).
 SHINGLE, SIMILARITY, MARGIN = 5, 0.8, 0.06
-#: In that case fingerprints are of pairs of words, on which a changed word weighs less, and link at so many bits.
-LOOSE_WORDS, LOOSE_BITS = 2, 7
+#: In that case fingerprints are of the distinct single words, on which a changed word weighs least, and link at so many bits.
+LOOSE_WORDS, LOOSE_BITS = 1, 8
 BINS = 128
 SEED = 42
 #: What a row probed and a candidate compared cost, in microseconds.
@@ -75,7 +75,7 @@ def sketch(h: np.ndarray, words: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, sketched: bool = False) -> DataFrame:
-    """doc_id, _row and fp for each row of docs, and with sketched its sketch."""
+    """doc_id, _row and fp for each row of docs; with sketched also its sketch, and fp is of the distinct shingles."""
     schema = "doc_id long, _row long, fp long" + ", sketch binary" * sketched
     types = [pa.int64()] * 3 + [pa.binary()] * sketched
 
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, sketched: bool = False) ->
             fps, sketches = [], []
             for text in batch.column(2):
                 h = hashes(text.as_py() or "", words)
-                fps.append(fingerprint(h))
+                fps.append(fingerprint(np.unique(h) if sketched else h))
                 if sketched:
                     sketches.append(sketch(h, words))
             columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), fps, *[sketches] * sketched]
