@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -30,6 +31,8 @@ SHINGLE, SIMILARITY, MARGIN = 5, 0.8, 0.06
 #: In that case fingerprints are of the distinct single words, on which a changed word weighs least, and link at so many bits.
 LOOSE_WORDS, LOOSE_BITS = 1, 8
 BINS = 128
+#: A sketch in short, two bits a bin in these columns of 64 bits: bins that agree in the sketches agree in these.
+CODES = ("c0", "c1", "c2", "c3")
 SEED = 42
 #: What a row probed and a candidate compared cost, in microseconds.
 PROBE_COST, CANDIDATE_COST = 2.0, 0.05
@@ -74,10 +77,18 @@ def sketch(h: np.ndarray, words: int) -> bytes:
     return out.tobytes()
 
 
+def codes(sketches: list[bytes]) -> list[np.ndarray]:
+    """The columns CODES: a bin is 0 if empty, else one of 1 to 3."""
+    x = np.frombuffer(b"".join(sketches), "<u2").reshape(-1, BINS)
+    two = np.where(x == 0, 0, 1 + (x >> 1) % 3).astype(np.uint8)
+    bits = np.stack((two & 1, two >> 1), axis=2).reshape(len(x), 2 * BINS)
+    return list(np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little").view("<i8").T))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, sketched: bool = False) -> DataFrame:
-    """doc_id, _row and fp for each row of docs; with sketched also its sketch, and fp is of the distinct shingles."""
-    schema = "doc_id long, _row long, fp long" + ", sketch binary" * sketched
-    types = [pa.int64()] * 3 + [pa.binary()] * sketched
+    """doc_id, _row and fp for each row of docs; with sketched also its sketch and its codes, and fp is of the distinct shingles."""
+    fields = [("doc_id", "long"), ("_row", "long"), ("fp", "long")] + [("sketch", "binary"), *((c, "long") for c in CODES)] * sketched
+    types = [pa.binary() if kind == "binary" else pa.int64() for _, kind in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,11 +98,11 @@ def fingerprints(docs: DataFrame, words: int = WORDS, sketched: bool = False) ->
                 fps.append(fingerprint(np.unique(h) if sketched else h))
                 if sketched:
                     sketches.append(sketch(h, words))
-            columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), fps, *[sketches] * sketched]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["doc_id", "_row", "fp", "sketch"][: 3 + sketched])
+            columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), fps, *([sketches, *codes(sketches)] if sketched else [])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=[name for name, _ in fields])
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), "text")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, ", ".join(map(" ".join, fields)))
 
 
 @dataclass
@@ -203,8 +214,17 @@ def plan(fps: DataFrame, k: int) -> list[Part]:
     return tried[min(costs)[1]][2]
 
 
-def close_pairs(fps: DataFrame, k: int) -> DataFrame:
-    """a < b, all pairs of distinct fingerprints fp that differ in at most k bits, each once.
+def codes_agree(a: str, b: str, least: float) -> Column:
+    """Whether the codes of a and b (prefixes of columns) agree in so large a share of the bins that aren't empty in both: true for all pairs whose sketches do."""
+    low = F.lit(0x5555555555555555)
+    bins = lambda x: F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low))
+    pairs = [(F.col(f"{a}{c}"), F.col(f"{b}{c}")) for c in CODES]
+    differ, full = (reduce(Column.__add__, (bins(f(x, y)) for x, y in pairs)) for f in (Column.bitwiseXOR, Column.bitwiseOR))
+    return differ <= full * (1 - least) + 1e-6
+
+
+def close_pairs(fps: DataFrame, k: int, similarity: float | None = None) -> DataFrame:
+    """a < b, all pairs of distinct fingerprints fp that differ in at most k bits, each once; with similarity without those whose codes show that it isn't reached.
 
     A pair is given by the first part that finds it, so no pair needs to be dropped afterwards. Both sides of the join are plain
     shuffles: adaptive execution splits a part's value that is hot.
@@ -221,15 +241,19 @@ def close_pairs(fps: DataFrame, k: int) -> DataFrame:
         value = part.value(fp)
         return F.transform(F.array(*(F.lit(m).cast("long") for m in part.ball())), lambda m: key(i, value.bitwiseXOR(m)))
 
-    held = fps.select(fp.alias("b"), F.explode(F.array(*(key(i, x.value(fp)) for i, x in enumerate(parts)))).alias("x")).select("b", "x.part", "x.value")
-    probed = fps.select(fp.alias("a"), F.explode(F.concat(*(probes(i, x) for i, x in enumerate(parts)))).alias("x")).select("a", "x.part", "x.value")
+    more = CODES if similarity is not None else ()
+    held = fps.select(fp.alias("b"), *more, F.explode(F.array(*(key(i, x.value(fp)) for i, x in enumerate(parts)))).alias("x")).select("b", *more, "x.part", "x.value")
+    probed = fps.select(fp.alias("a"), *more, F.explode(F.concat(*(probes(i, x) for i, x in enumerate(parts)))).alias("x")).select("a", *more, "x.part", "x.value")
     differ = F.col("a").bitwiseXOR(F.col("b"))
     first = F.lit(len(parts))
     for i, x in reversed(list(enumerate(parts))):
         first = F.when(F.bit_count(differ.bitwiseAND(F.lit(x.mask - (x.mask >> 63 << 64)).cast("long"))) <= x.threshold, i).otherwise(first)
     probed, held = probed.alias("p"), held.alias("h")
     matched = (F.col("p.part") == F.col("h.part")) & (F.col("p.value") == F.col("h.value"))
-    return probed.join(held, matched & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= k) & (first == F.col("p.part"))).select("a", "b")
+    matched &= (F.col("a") < F.col("b")) & (F.bit_count(differ) <= k)
+    if similarity is not None:
+        matched &= codes_agree("p.", "h.", similarity)
+    return probed.join(held, matched & (first == F.col("p.part"))).select("a", "b")
 
 
 def similar(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -255,13 +279,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, simil
     the least one, which is null where all are. Rows that repeat are in one component. An empty table gives no rows; other columns don't matter.
     """
     rows = cut(fingerprints(docs, words, similarity is not None))
-    sketches = [F.min("sketch").alias("sketch")] * (similarity is not None)
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("_row").alias("_first"), *sketches))
-    pairs = close_pairs(distinct.select("fp"), bits)
-    if similarity is not None:
+    sketched = similarity is not None
+    sketches = [F.min(F.struct("sketch", *CODES)).alias("_s")] * sketched
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("_row").alias("_first"), *sketches)
+    distinct = cut(distinct.select("fp", "least", "_first", "_s.*") if sketched else distinct)
+    pairs = close_pairs(distinct.select("fp", *(CODES if sketched else ())), bits, similarity)
+    if sketched:
         pairs = similar(pairs, distinct.select("fp", "sketch"), similarity)
     roots = components(pairs).withColumnRenamed("node", "fp")
-    known = distinct.drop("sketch").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    known = distinct.select("fp", "least", "_first").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"), F.min("_first").alias("_first"))
     by_fp = cut(lookup(known.select("fp", "root"), least, ["root"], F.col("fp")).drop("root"))
     return lookup(rows.select("doc_id", "_row", "fp"), by_fp, ["fp"], F.col("_row")).select(

@@ -127,6 +127,26 @@ def test_near_copies_go_and_others_stay(spark):
     assert simhash.drop_near(docs.limit(0)).count() == 0
 
 
+def test_codes_rule_out_no_similar_pair(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    by_fp: dict = {}
+    for r in docs.collect():
+        h = simhash.hashes(r.text or "", 1)
+        fp, x = simhash.fingerprint(np.unique(h)) % (1 << 64), simhash.sketch(h, 1)
+        by_fp[fp] = min(x, by_fp.get(fp, x))
+    u = np.array(sorted(by_fp), np.uint64)
+    sketches = np.stack([np.frombuffer(by_fp[int(x)], "<u2") for x in u])
+    links = []
+    for a, b in zip(*np.nonzero(np.triu(np.bitwise_count(u[:, None] ^ u[None, :]) <= 8, 1))):
+        x, y = sketches[a], sketches[b]
+        if ((x == y) & (x != 0)).sum() >= 0.74 * ((x != 0) | (y != 0)).sum():
+            links.append(tuple(sorted(int(np.int64(u[i])) for i in (a, b))))
+    rows = simhash.fingerprints(docs, 1, True).groupBy("fp").agg(F.min(F.struct("sketch", *simhash.CODES)).alias("s")).select("fp", "s.*")
+    found = simhash.close_pairs(rows.select("fp", *simhash.CODES), 8, 0.74)
+    got = simhash.similar(found, rows.select("fp", "sketch"), 0.74).collect()
+    assert links and sorted((r.a, r.b) for r in got) == sorted(links)
+
+
 def test_sketches_estimate_similarity():
     rng = random.Random(1)
     for share in (0.5, 0.8, 0.95):
