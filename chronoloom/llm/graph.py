@@ -15,7 +15,22 @@ def _state(links: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """node and root (the least node of its component) for each node of links (a, b); no links, no rows.
 
-    In a large star each node hangs its larger neighbours on its least one, in a small star its smaller ones. Rounds go on until nothing
+    First each node keeps its link to its least neighbour alone, a forest with a link a node at most, whose components become nodes of their own. Between
+    those the other links stand once, so however many links a dense group has, the further rounds see few.
+    """
+    links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = cut(stars(both.groupBy("a").agg(F.min("b").alias("b"))))
+    low = near.select(F.col("node").alias("low"), F.col("root").alias("a"))
+    high = near.select(F.col("node").alias("high"), F.col("root").alias("b"))
+    named = links.select(F.col("a").alias("low"), F.col("b").alias("high"))
+    between = lookup(cut(lookup(named, low, ["low"], F.col("high"))), high, ["high"], F.col("low")).select("a", "b").where("a <> b")
+    far = stars(between).select(F.col("node").alias("root"), F.col("root").alias("_far"))
+    return lookup(near, far, ["root"], F.col("node")).select("node", F.coalesce("_far", "root").alias("root"))
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """The same by stars alone. In a large star each node hangs its larger neighbours on its least one, in a small star its smaller ones. Rounds go on until nothing
     changes; each is held in the shared folder. A node's least neighbour reaches its links by way of runs, so that no task gets all links of a hub.
     """
     links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
