@@ -267,7 +267,7 @@ def similar(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
         full = ((a != 0) | (b != 0)).sum(1)
         return pd.Series(((a == b) & (a != 0)).sum(1) >= least * full)
 
-    left = lookup(pairs, sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), ["a"], F.col("b"))
+    left = cut(lookup(cut(pairs), sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), ["a"], F.col("b")))  # lookup reads its rows twice
     return lookup(left, sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), ["b"], F.col("a")).where(agree("x", "y")).select("a", "b")
 
 
