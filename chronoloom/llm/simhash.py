@@ -37,6 +37,9 @@ SEED = 42
 #: What a row probed and a candidate compared cost, in microseconds.
 PROBE_COST, CANDIDATE_COST = 2.0, 0.05
 BLOCK = 1 << 16
+#: Bands of min-hashes over sets of shingles, and min-hashes in each: of pairs of similarity 0.8 all but (1 - 0.8 ** BAND) ** BANDS = 5e-7 share a band.
+BANDS, BAND = 48, 6
+MIXERS, ODD = (np.random.default_rng(SEED + i).integers(0, 1 << 64, BANDS * BAND, np.uint64) | np.uint64(i) for i in (0, 1))
 
 
 def hashes(text: str, words: int = WORDS) -> np.ndarray:
@@ -295,7 +298,90 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, simil
     )
 
 
+def shingles(text: str) -> np.ndarray:
+    """The set of a text's SHINGLE-word shingles, as sorted hashes."""
+    return np.unique(hashes(text, SHINGLE))
+
+
+def band_keys(x: np.ndarray) -> np.ndarray:
+    """A key for each band of a set: two sets share a band's key if all its min-hashes agree, which each does with a chance of their similarity."""
+    least = np.full(len(MIXERS), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(x), 256):
+        part = (x[i : i + 256, None] ^ MIXERS[None, :]) * np.uint64(0x9E3779B97F4A7C15)
+        part ^= part >> np.uint64(32)
+        part *= ODD[None, :]
+        np.minimum(least, part.min(0), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND).T:
+        out = (out ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """_row, the set's digest (two hashes), its size and its bands' keys, for each row of docs; a null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(x or "") for x in batch.column(1).to_pylist()]
+            digests = [xxhash.xxh128_digest(x.tobytes(), SEED) for x in sets]
+            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array([len(x) for x in sets], pa.int64())]
+            columns.append(pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "digest", "n", "keys"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "text")
+    return rows.mapInArrow(run, "_row long, digest binary, n long, keys array<long>")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b: rows of docs) whose sets of shingles have at least that similarity, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingles(x or "").tobytes() for x in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["_row", "x"])
+
+    @F.pandas_udf("boolean")
+    def alike(x, y):
+        import pandas as pd
+
+        sets = ((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(x, y, strict=True))
+        common = [(len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b)) for a, b in sets]
+        return pd.Series([both >= least * (total - both) - 1e-9 for both, total in common], dtype=bool)
+
+    nodes = pairs.select(F.col("a").alias("_row")).union(pairs.select(F.col("b").alias("_row"))).distinct()
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "text")
+    sets = cut(numbered.join(nodes.hint("shuffle_hash"), "_row", "left_semi").mapInArrow(run, "_row long, x binary"))
+    left = cut(lookup(pairs, sets.select(F.col("_row").alias("a"), "x"), ["a"], F.col("b")))
+    return lookup(left, sets.select(F.col("_row").alias("b"), F.col("x").alias("y")), ["b"], F.col("a")).where(alike("x", "y")).select("a", "b")
+
+
+def near_rows(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """_row and _first, the least row number of its group, for each row of docs. Groups are linked by pairs whose sets of shingles have that similarity.
+
+    Equal sets are one node. Two sets meet if they share a band's key. First each meets the least of each of its keys' sets, then all that share a key and
+    aren't in one group yet meet: so a group of very many near copies needs no pair of each two of them.
+    """
+    rows = cut(shingle_sets(docs))
+    nodes = cut(rows.groupBy("digest").agg(F.min("_row").alias("node"), F.first("n").alias("n")))
+    own = lookup(rows.select("_row", "digest"), nodes.select("digest", "node"), ["digest"], F.col("_row")).select("_row", "node")
+    keyed = rows.join(nodes.select(F.col("node").alias("_row")), "_row", "left_semi").select(F.col("_row").alias("node"), "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max("node").alias("high")).where("low.node < high")
+    members = cut(lookup(keyed, shared.select("key", "low"), ["key"], F.col("node")).where("low is not null"))
+    near = lambda x, y: (F.col(x) >= least * F.col(y) - 1e-9) & (F.col(y) >= least * F.col(x) - 1e-9)
+    stars = cut(members.where((F.col("low.node") < F.col("node")) & near("n", "low.n")).select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct())
+    links = cut(verified(docs, stars, least))
+    rooted = lookup(members.select("key", "node", "n"), components(links).withColumnRenamed("root", "_root"), ["node"], F.col("key"))
+    rooted = cut(rooted.select("key", "node", "n", F.coalesce("_root", "node").alias("root")))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", F.lit(True).alias("_open"))
+    rooted = cut(lookup(rooted, open_keys, ["key"], F.col("node")).where("_open").drop("_open"))
+    one, two = (rooted.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"root{x}")) for x in "ab")
+    others = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & near("na", "nb")).select("a", "b").distinct()
+    more = verified(docs, cut(others.join(stars, ["a", "b"], "left_anti")), least)
+    roots = components(links.union(more)).select("node", F.col("root").alias("_root"))
+    return lookup(own, roots, ["node"], F.col("_row")).select("_row", F.coalesce("_root", "node").alias("_first"))
+
+
 def drop_near(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near-duplicates, that read first: fingerprints of word pairs find the pairs, five-word shingles verify them."""
-    found = near_duplicates(docs, LOOSE_WORDS, LOOSE_BITS, SIMILARITY - MARGIN)
-    return keep_rows(docs, found.where("_row = _first").select("_row"))
+    """docs with one row of each group of near-duplicates, that read first: pairs of five-word similarity SIMILARITY, held set against set."""
+    return keep_rows(docs, near_rows(docs).where("_row = _first").select("_row"))

@@ -203,3 +203,21 @@ def test_lookup_has_all_rows(spark):
     rows = spark.range(2000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     got = lookup(rows, spark.createDataFrame([("hot", 1), ("3", 2)], "k string, v int"), ["k"], F.col("id"))
     assert (got.count(), got.where("v = 1").count(), got.where("v = 2").count()) == (2000, rows.where("k = 'hot'").count(), 1)
+
+
+def test_added_and_cut_passages_are_near(spark):
+    rng = random.Random(6)
+    rows, copies = [], set()
+    for i in range(60):
+        words = prose(rng, rng.choice([60, 150, 400])).split()
+        more = prose(rng, int(0.23 * (len(words) - 4))).split()
+        at = rng.choice([0, len(words) // 2, len(words)])
+        # in the middle an added block also breaks four shingles
+        other = words[: int(0.85 * len(words))] if i % 3 == 0 else words[:at] + more[: len(more) - 8 * (at == len(words) // 2)] + words[at:]
+        a, b = (set(simhash.hashes(" ".join(w), 5).tolist()) for w in (words, other))
+        assert i % 3 or 0.8 <= len(a & b) / len(a | b) < 0.9
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        if len(a & b) >= 0.8 * len(a | b):
+            copies.add(2 * i + 1)
+    kept = {r.doc_id for r in simhash.drop_near(frame(spark, rows).coalesce(1)).collect()}
+    assert len(copies) >= 50 and kept == set(range(120)) - copies
