@@ -26,10 +26,8 @@ from .exact_dedup import keep_rows
 from .graph import components
 
 WORDS, BITS = 4, 4
-#: For verified groups: shingles of so many words, their least similarity, and what the sketch may miss it by (two standard errors).
-SHINGLE, SIMILARITY, MARGIN = 5, 0.8, 0.06
-#: In that case fingerprints are of the distinct single words, on which a changed word weighs least, and link at so many bits.
-LOOSE_WORDS, LOOSE_BITS = 1, 8
+#: For verified groups: shingles of so many words and their least similarity.
+SHINGLE, SIMILARITY = 5, 0.8
 BINS = 128
 #: A sketch in short, two bits a bin in these columns of 64 bits: bins that agree in the sketches agree in these.
 CODES = ("c0", "c1", "c2", "c3")
@@ -274,21 +272,15 @@ def similar(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return lookup(left, sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), ["b"], F.col("a")).where(agree("x", "y")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (hex), component_id and _row, _first for each row of docs.
 
-    component_id is the least doc_id that links of at most bits differing bits lead to, _first the least row number. With similarity, a link between unequal fingerprints also needs that share of
-    common five-word shingles, as sketches estimate it. A null text counts as empty; texts without a word have fingerprint zero and link like any other; null doc_ids are left out of
+    component_id is the least doc_id that links of at most bits differing bits lead to, _first the least row number. A null text counts as empty; texts without a word have fingerprint zero and link like any other; null doc_ids are left out of
     the least one, which is null where all are. Rows that repeat are in one component. An empty table gives no rows; other columns don't matter.
     """
-    rows = cut(fingerprints(docs, words, similarity is not None))
-    sketched = similarity is not None
-    sketches = [F.min(F.struct("sketch", *CODES)).alias("_s")] * sketched
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("_row").alias("_first"), *sketches)
-    distinct = cut(distinct.select("fp", "least", "_first", "_s.*") if sketched else distinct)
-    pairs = close_pairs(distinct.select("fp", *(CODES if sketched else ())), bits, similarity)
-    if sketched:
-        pairs = similar(pairs, distinct.select("fp", "sketch"), similarity)
+    rows = cut(fingerprints(docs, words))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("_row").alias("_first")))
+    pairs = close_pairs(distinct.select("fp"), bits)
     roots = components(pairs).withColumnRenamed("node", "fp")
     known = distinct.select("fp", "least", "_first").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"), F.min("_first").alias("_first"))

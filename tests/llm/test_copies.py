@@ -221,3 +221,17 @@ def test_added_and_cut_passages_are_near(spark):
             copies.add(2 * i + 1)
     kept = {r.doc_id for r in simhash.drop_near(frame(spark, rows).coalesce(1)).collect()}
     assert len(copies) >= 50 and kept == set(range(120)) - copies
+
+
+def test_only_similar_shingles_are_near(spark):
+    rng = random.Random(9)
+    rows, expected = [], set()
+    for i in range(30):
+        words = prose(rng, 200).split()
+        shuffled = rng.sample(words, len(words))  # the same words, so the same fingerprint of words
+        almost = words + prose(rng, 65).split()  # similarity 196 / 261 = 0.75
+        close = words + prose(rng, 48).split()  # 196 / 244 = 0.803
+        rows += [(4 * i + j, " ".join(w)) for j, w in enumerate((words, shuffled, almost if i % 2 else close))]
+        expected |= {4 * i, 4 * i + 1} | ({4 * i + 2} if i % 2 else set())
+    kept = {r.doc_id for r in simhash.drop_near(frame(spark, rows).coalesce(1)).collect()}
+    assert kept == expected
