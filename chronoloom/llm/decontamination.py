@@ -206,14 +206,14 @@ def blocks(texts: list[str]) -> Iterator[Block]:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, n, at, hash, template and slots for each window of the items that has enough literal words."""
-    schema = "item_id long, n int, at long, hash long, template string, slots array<string>"
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()))
+    """_key (of item_id and text together), item_id, n, at, hash, template and slots for each window of the items that has enough literal words."""
+    schema = "_key long, item_id long, n int, at long, hash long, template string, slots array<string>"
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            keys, ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            texts = [x or "" for x in batch.column(2).to_pylist()]
             size = np.zeros(len(texts), np.int64)
             for b in blocks(texts):
                 np.add.at(size, b.doc[b.own], 1)
@@ -222,10 +222,11 @@ def item_windows(items: DataFrame) -> DataFrame:
                     hashed = b.hashes(n)
                     for i in b.starts(n).tolist():
                         if min(WINDOW, size[b.doc[i]]) == n:
-                            rows.append((ids[b.doc[i]], n, int(b.at[i]), int(hashed[i].view(np.int64)), *b.window(i, n)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["item_id", "n", "at", "hash", "template", "slots"])
+                            rows.append((keys[b.doc[i]], ids[b.doc[i]], n, int(b.at[i]), int(hashed[i].view(np.int64)), *b.window(i, n)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["_key", "item_id", "n", "at", "hash", "template", "slots"])
 
-    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, schema)
+    item_id = F.col("item_id").cast("long")
+    return items.select(F.xxhash64(item_id.isNull(), item_id, "text").alias("_key"), item_id.alias("item_id"), "text").mapInArrow(run, schema)
 
 
 def document_windows(docs: DataFrame, lengths: list[int], places: np.ndarray) -> DataFrame:
@@ -256,23 +257,23 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row for each row of docs and item that it leaks: doc_id, item_id, windows (matched at the best alignment), item_windows, share, exact (slots filled as in the item), _row.
 
     Null texts and ids: a null text has no words, and leaks nothing; a null doc_id or item_id stays null. Items of fewer than SHORTEST words, or with fewer than LITERAL literal
-    words in every window, are not searched. Rows of docs that repeat give repeated results; an item_id that repeats is one item only if its text is the same. Empty
+    words in every window, are not searched. Rows of docs that repeat give repeated results; an item_id that repeats, null or not, is one item only if its text is the same. Empty
     tables give no rows; other columns don't matter. Whole texts are searched, and each passage that many documents share in each of them.
     """
     own = cut(item_windows(items.select("item_id", "text").distinct()))
     lengths = sorted(r[0] for r in own.select("n").distinct().collect())
     taken = own.select(F.shiftrightunsigned("hash", 64 - BITMAP).cast("int").alias("place")).distinct().collect()  # at most 2 ** BITMAP
     found = cut(document_windows(docs, lengths, np.array([r[0] for r in taken], np.int64)))
-    total = own.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    wanted = own.select("hash", F.struct("item_id", "at", "template", "slots").alias("_item"))
+    total = own.groupBy("_key").agg(F.first("item_id").alias("item_id"), F.count("*").alias("item_windows"))
+    wanted = own.select("hash", F.struct("_key", "at", "template", "slots").alias("_item"))
     matched = lookup(found, wanted, ["hash"], F.struct("_row", "at")).where("_item.template = template")
     pairs = F.zip_with("_item.slots", "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d")))
-    aligned = matched.select("doc_id", "_row", F.col("_item.item_id").alias("item_id"), F.col("_item.at").alias("item_at"), (F.col("at") - F.col("_item.at")).alias("shift"), pairs.alias("pairs"))
-    by = aligned.groupBy("doc_id", "_row", "item_id", "shift").agg(F.count_distinct("item_at").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    aligned = matched.select("doc_id", "_row", F.col("_item._key").alias("_key"), F.col("_item.at").alias("item_at"), (F.col("at") - F.col("_item.at")).alias("shift"), pairs.alias("pairs"))
+    by = aligned.groupBy("doc_id", "_row", "_key", "shift").agg(F.count_distinct("item_at").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     one = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda x: x[k])))
     fits = by.where((one("b") == F.size("pairs")) & (one("d") == F.size("pairs"))).withColumn("exact", F.forall("pairs", lambda x: x["b"] == x["d"]))
-    best = fits.groupBy("doc_id", "_row", "item_id").agg(F.max(F.struct("windows", "exact")).alias("x"))
-    sized = lookup(best, total, ["item_id"], F.col("_row")).withColumn("share", F.col("x.windows") / F.col("item_windows"))
+    best = fits.groupBy("doc_id", "_row", "_key").agg(F.max(F.struct("windows", "exact")).alias("x"))
+    sized = lookup(best, total, ["_key"], F.col("_row")).withColumn("share", F.col("x.windows") / F.col("item_windows"))
     return sized.where(F.col("share") >= SHARE).select("doc_id", "item_id", F.col("x.windows").alias("windows"), "item_windows", "share", F.col("x.exact").alias("exact"), "_row")
 
 

@@ -235,3 +235,13 @@ def test_only_similar_shingles_are_near(spark):
         expected |= {4 * i, 4 * i + 1} | ({4 * i + 2} if i % 2 else set())
     kept = {r.doc_id for r in simhash.drop_near(frame(spark, rows).coalesce(1)).collect()}
     assert kept == expected
+
+
+def test_items_with_null_and_repeated_ids_leak(spark):
+    rng = random.Random(3)
+    short, long, nameless = (prose(rng, n) for n in (38, 59, 30))
+    items = spark.createDataFrame([(1, short), (1, long), (None, nameless), (None, short)], "item_id long, text string")
+    docs = [(1, f"{prose(rng, 20)} {short}"), (2, nameless), (3, prose(rng, 60))]
+    found = [(r.doc_id, r.item_id, r.share) for r in decontamination.leaks(frame(spark, docs), items).collect()]
+    assert sorted(found, key=str) == [(1, 1, 1.0), (1, None, 1.0), (2, None, 1.0)]
+    assert [r.doc_id for r in decontamination.drop_leaks(frame(spark, docs), items).collect()] == [3]
