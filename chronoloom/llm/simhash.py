@@ -35,8 +35,8 @@ SEED = 42
 #: What a row probed and a candidate compared cost, in microseconds.
 PROBE_COST, CANDIDATE_COST = 2.0, 0.05
 BLOCK = 1 << 16
-#: Bands of min-hashes over sets of shingles, and min-hashes in each: of pairs of similarity 0.8 all but (1 - 0.8 ** BAND) ** BANDS = 5e-7 share a band.
-BANDS, BAND = 48, 6
+#: Bands of min-hashes over sets of shingles, and min-hashes in each: of pairs of similarity 0.8 all but (1 - 0.8 ** BAND) ** BANDS = 6e-7 share a band.
+BANDS, BAND = 36, 5
 MIXERS, ODD = (np.random.default_rng(SEED + i).integers(0, 1 << 64, BANDS * BAND, np.uint64) | np.uint64(i) for i in (0, 1))
 
 
@@ -359,7 +359,7 @@ def near_rows(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     own = lookup(rows.select("_row", "digest"), nodes.select("digest", "node"), ["digest"], F.col("_row")).select("_row", "node")
     keyed = rows.join(nodes.select(F.col("node").alias("_row")), "_row", "left_semi").select(F.col("_row").alias("node"), "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max("node").alias("high")).where("low.node < high")
-    members = cut(lookup(keyed, shared.select("key", "low"), ["key"], F.col("node")).where("low is not null"))
+    members = cut(keyed.join(shared.select("key", "low"), "key"))  # plain shuffles: adaptive execution splits a hot key's rows
     near = lambda x, y: (F.col(x) >= least * F.col(y) - 1e-9) & (F.col(y) >= least * F.col(x) - 1e-9)
     stars = cut(members.where((F.col("low.node") < F.col("node")) & near("n", "low.n")).select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct())
     links = cut(verified(docs, stars, least))
