@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import jobs as jb
 from ..operators import rules
 from ..sources import adapters as src
+from . import fold_sql
 from .registry import query
 
 
@@ -65,7 +66,7 @@ def k4_latest_by_token(spark, sf_dir):
     return jb.latest(rows, ["key"], [F.desc("id")])
 
 
-@query()
+@query(fold_sql.CLAIMS)
 def k3_claims(spark, sf_dir):
     rows = src.jobs(spark, sf_dir).select("customer", "id", F.pmod("id", F.lit(4)).alias("expected"))
     return jb.claims(rows, ["customer"], ["id"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stateful as st
 from ..sources import adapters as src
+from . import fold_sql
 from .registry import query, rounded
 
 
@@ -101,43 +102,46 @@ def a11_distinct_counts(spark, sf_dir):
     return _t(spark, sf_dir, "events").agg(F.count_distinct("user_id").alias("users"), F.count_distinct("event_type").alias("kinds"))
 
 
-@query()
+@query(fold_sql.SENTENCES)
 def w7_sentences(spark, sf_dir):
     return st.sentences(src.words(spark, sf_dir), ["plan_id"], 12_000.0, ("purchase",))
 
 
-@query()
+@query(fold_sql.ATTACK_RELEASE)
 def w17_attack_release(spark, sf_dir):
     return rounded(st.attack_release(src.series(spark, sf_dir), ["plan_id"], 0.6, 0.1), "level", digits=6)
 
 
-@query()
+@query(fold_sql.FOLLOWED)
 def w22_followed(spark, sf_dir):
     return rounded(st.followed(src.series(spark, sf_dir), ["plan_id"], 20.0, 0.5), "followed", digits=6)
 
 
-@query()
+@query(fold_sql.SECTIONS)
 def w27_sections(spark, sf_dir):
     return st.sections(src.series(spark, sf_dir), ["plan_id"])
 
 
-@query()
+@query(fold_sql.SPACED)
 def w35_spaced(spark, sf_dir):
     rows = src.series(spark, sf_dir).withColumn("minus", -F.col("value"))
     return st.spaced(rows, ["plan_id"], ["minus", "idx"], 5)
 
 
-@query()
+@query(fold_sql.SEGMENTED)
 def w37_segmented(spark, sf_dir):
     return st.segmented(src.words(spark, sf_dir), ["plan_id"], 6, 32, 22, ("view",))
 
 
-@query()
+@query(fold_sql.PACKED)
 def w40_packed_rows(spark, sf_dir):
     return st.packed_rows(src.cuts(spark, sf_dir), ["plan_id"])
 
 
-@query()
+@query(fold_sql.MATCHED)
 def j16_matched_words(spark, sf_dir):
+    """The title of a plan is what the next plan says."""
     words = src.words(spark, sf_dir)
-    return st.matched_words(words.where("word_i % 4 = 1").select("plan_id", "word_i", "text"), words.select("plan_id", "word_i", "text", "start"), ["plan_id"])
+    title = src.words(spark, sf_dir).select((F.col("plan_id") - 1).alias("plan_id"), "word_i", "text").join(words.select("plan_id").distinct(), "plan_id", "left_semi")
+    title = title.toDF("plan_id", "word_i", "text")
+    return rounded(st.matched_words(title, words.select("plan_id", "word_i", "text", "start"), ["plan_id"]), "start")

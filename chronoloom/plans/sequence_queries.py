@@ -116,11 +116,12 @@ def w16_held_maximum(spark, sf_dir):
 @query(
     src.SQL
     + """, one AS (SELECT plan_id, idx, avg(value) OVER (PARTITION BY plan_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM series)
-    SELECT plan_id, idx, round(avg(v) OVER (PARTITION BY plan_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 4) AS smooth FROM one"""
+    SELECT plan_id, idx, round(avg(v) OVER (PARTITION BY plan_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) + 1e-7, 4) AS smooth FROM one"""
 )
 def w18_zero_phase_mean(spark, sf_dir):
     once = sq.sliding(src.series(spark, sf_dir), BY, F.avg("value"), 2, 2, "v")
-    return rounded(sq.sliding(once, BY, F.avg("v"), 2, 2, "smooth").select("plan_id", "idx", "smooth"), "smooth", digits=4)
+    twice = sq.sliding(once, BY, F.avg("v"), 2, 2, "smooth")  # sums are taken in another order: what ends in a 5 rounds up on both sides
+    return rounded(twice.select("plan_id", "idx", (F.col("smooth") + 1e-7).alias("smooth")), "smooth", digits=4)
 
 
 @query(
@@ -220,10 +221,11 @@ def a22_normalised(spark, sf_dir):
 @query(
     src.SQL
     + """, m AS (SELECT plan_id, avg(value) AS m FROM series WHERE value > 5 GROUP BY 1)
-    SELECT plan_id, round(avg(value), 4) AS gated FROM series JOIN m USING (plan_id) WHERE value > 5 AND value > m - 40 GROUP BY 1"""
+    SELECT plan_id, round(avg(value) + 1e-7, 4) AS gated FROM series JOIN m USING (plan_id) WHERE value > 5 AND value > m - 40 GROUP BY 1"""
 )
 def a7_gated_mean(spark, sf_dir):
-    return rounded(sq.gated_mean(src.series(spark, sf_dir), BY, 5.0, 40.0), "gated", digits=4)
+    rows = sq.gated_mean(src.series(spark, sf_dir), BY, 5.0, 40.0)
+    return rounded(rows.withColumn("gated", F.col("gated") + 1e-7), "gated", digits=4)  # as in w18
 
 
 @query(

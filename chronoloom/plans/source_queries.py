@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from ..operators import resolve as rs
 from ..sources import adapters as src
 from ..sources import readers, writers
 from ..streaming import jobs as stream
+from . import fold_sql
 from .registry import query
 
 
@@ -110,12 +110,15 @@ def _streamed(spark, table: str, sf_dir: str):
 
 def _all_of(stream_df, spark, mode: str):
     """What a stream gives for all that there is now, written batch by batch to the shared folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='chronoloom-')}"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = stream_df.schema
-    write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/rows")
+    # a batch has a folder of its own, so one that is run again after a failure replaces its rows
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/rows/batch={0 if mode == 'complete' else n}")
     stream_df.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/state").start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{at}/rows")
+    return spark.read.schema(schema).parquet(f"{at}/rows").select(*schema.names)
 
 
 @query("SELECT event_type, date_trunc('day', ts) AS since, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
@@ -131,14 +134,14 @@ def t5_streamed_progress(spark, sf_dir):
     return _all_of(stream.progress(events), spark, "complete")
 
 
-@query()
+@query(fold_sql.STATES)
 def t2_streamed_states(spark, sf_dir):
     names = F.array(*map(F.lit, ["create", "claim", "finish", "cancel", "requeue"]))
     events = _streamed(spark, "events", sf_dir).select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.get(names, (F.col("event_id") % 5).cast("int")).alias("event"))
     return _all_of(stream.moved(events), spark, "append")
 
 
-@query()
+@query(fold_sql.FRESH)
 def t3_streamed_fresh(spark, sf_dir):
     events = _streamed(spark, "events", sf_dir).select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 7 % 90).cast("long").alias("token"), "value")
     return _all_of(stream.fresh(events), spark, "append")

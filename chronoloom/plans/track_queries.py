@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tags
 from ..operators import tracks as tr
 from ..sources import adapters as src
+from . import fold_sql
 from .registry import query, rounded
 
 BY = ["plan_id"]
@@ -90,18 +91,18 @@ def a19_histogram_distance(spark, sf_dir):
     return rounded(tr.histogram_distance(rows, ["user_id"], "day", "event_type"), "distance", digits=5)
 
 
-@query()
+@query(fold_sql.GREEDY)
 def l6_greedy_spans(spark, sf_dir):
     return tr.greedy_spans(src.cuts(spark, sf_dir).withColumn("rank", F.col("start") - F.col("end")), BY)
 
 
-@query()
+@query(fold_sql.CROSSFADED)
 def w31_crossfaded(spark, sf_dir):
     clips = src.series(spark, sf_dir).select("plan_id", F.col("idx").alias("i"), (F.col("value") / 100).alias("duration"))
     return rounded(tr.crossfaded(clips, BY, 0.5), "at", digits=6)
 
 
-@query()
+@query(fold_sql.ALTERNATING)
 def w34_alternating(spark, sf_dir):
     rows = src.series(spark, sf_dir).withColumn("wanted", F.col("value") > 60)
     return tr.alternating(rows, BY, "idx", "wanted")
