@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed table: hosts of platforms.
+#: Hosts of platforms as they are in the world; a sub-domain belongs to its host.
 PLATFORMS = {
-    "instagram": "instagram.com", "tiktok": "tiktok.com", "youtube": "youtube.com", "facebook": "facebook.com", "linkedin": "linkedin.com",
-    "telegram": "t.me", "whatsapp": "wa.me", "x": "x.com", "github": "github.com", "vimeo": "vimeo.com",
+    "instagram": ("instagram.com", "instagr.am", "ig.me"), "tiktok": ("tiktok.com",), "youtube": ("youtube.com", "youtu.be"), "facebook": ("facebook.com", "fb.com", "fb.me"), "linkedin": ("linkedin.com", "lnkd.in"),
+    "telegram": ("t.me", "telegram.me"), "whatsapp": ("wa.me", "whatsapp.com"), "x": ("x.com", "twitter.com"), "threads": ("threads.net", "threads.com"), "pinterest": ("pinterest.com", "pin.it"),
+    "snapchat": ("snapchat.com",), "spotify": ("spotify.com",), "github": ("github.com",), "vimeo": ("vimeo.com",), "linktree": ("linktr.ee",), "calendly": ("calendly.com",),
 }
-EMAIL = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-URL = r"((?:https?://|www\.)[^\s<>\"']+)"
+#: Platforms whose links are of the form host/name, and first parts of a path there that are no names.
+NAMED = ("instagram", "tiktok", "youtube", "facebook", "x", "threads", "telegram", "pinterest", "snapchat", "github", "linktree")
+RESERVED = ("about", "accounts", "add", "c", "channel", "direct", "explore", "groups", "hashtag", "help", "home", "i", "intent", "joinchat", "login", "p", "pages", "pin", "playlist", "reel", "reels", "search", "settings", "share", "shorts", "stories", "tv", "user", "watch")
+#: A mail address: dot-atoms of letters, digits, _ + and -, and a host of labels.
+EMAIL = r"([0-9A-Za-z_][0-9A-Za-z_+-]*(?:\.[0-9A-Za-z_+-]+)*@(?:[0-9A-Za-z](?:[0-9A-Za-z-]*[0-9A-Za-z])?\.)+[A-Za-z]{2,24})"
+#: A URL: scheme or www, a host with an optional port, and a rest that doesn't end in a mark of the sentence around it.
+URL = r"((?:[Hh][Tt][Tt][Pp][Ss]?://|[Ww][Ww][Ww]\.)[0-9A-Za-z](?:[0-9A-Za-z.-]*[0-9A-Za-z])?(?::[0-9]{1,5})?(?:[/?#](?:[^\s<>\"']*[^\s<>\"'.,;:!?)\]])?)?)"
 HANDLE = r"(?:^|[\s(])(@[A-Za-z0-9_.]{2,30})"
 PHONE = r"(\+?[0-9][0-9 ().-]{6,}[0-9])"
+#: What stands before a handle, up to so many characters, and words there that name a platform.
+BEFORE = r"(?:^|[\s(])@[A-Za-z0-9_.]{2,30}"
+CONTEXT, NAMES = 48, "instagram|insta|tiktok|youtube|facebook|linkedin|telegram|twitter|threads|pinterest|snapchat"
 
 
 def host(url: Column) -> Column:
@@ -24,15 +33,29 @@ def platform(url: Column) -> Column:
     """The platform whose host, or a sub-domain of it, the url has; else web."""
     h = host(url)
     out = F.lit("web")
-    for name, domain in PLATFORMS.items():
-        out = F.when((h == domain) | h.endswith(f".{domain}"), name).otherwise(out)
+    for name, domains in PLATFORMS.items():
+        for domain in domains:
+            out = F.when((h == domain) | h.endswith(f".{domain}"), name).otherwise(out)
     return out
 
 
 def handle(url: Column) -> Column:
-    """@name for the first part of a platform link's path, or null."""
-    name = F.regexp_extract(url, r"^(?:https?://)?[^/?#]+/@?([A-Za-z0-9_.]{2,30})(?:[/?#]|$)", 1)
-    return F.when((platform(url) != "web") & (name != ""), F.concat(F.lit("@"), name))
+    """@name for the first part of a platform link's path, in lower case, or null; parts such as watch or explore are no names."""
+    name = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z]+://)?[^/?#]+/(?:(?:in|company|add|stories)/)?@?([A-Za-z0-9_.-]{2,30})(?:[/?#]|$)", 1))
+    return F.when(platform(url).isin(*NAMED) & (name != "") & ~name.isin(*RESERVED), F.concat(F.lit("@"), name))
+
+
+def structured(url: Column) -> Column:
+    """platform, handle and address of a URL: the host without www and the path without its query, or host/name where the link is a name's."""
+    name = handle(url)
+    path = F.regexp_extract(url, r"^(?:[A-Za-z]+://)?[^/?#]+([^?#]*?)/*(?:[?#].*)?$", 1)
+    return F.struct(platform(url).alias("platform"), name.alias("handle"), F.concat(F.lit("https://"), host(url), F.when(name.isNotNull(), F.concat(F.lit("/"), F.substring(name, 2, 30))).otherwise(path)).alias("address"))
+
+
+def named_before(context: Column) -> Column:
+    """The platform that the last of NAMES in a text names, or null."""
+    last = F.lower(F.regexp_extract(context, rf"(?i).*\b({NAMES})\b", 1))
+    return F.when(last == "", None).when(last == "insta", "instagram").when(last == "twitter", "x").otherwise(last)
 
 
 def public(url: Column) -> Column:
@@ -59,3 +82,42 @@ def phone_display(phone: Column) -> Column:
     """Nine digits as 3 3 3, ten as 3 3 4, others as given."""
     d = digits(phone)
     return F.when(F.length(d) == 9, F.concat_ws(" ", F.substring(d, 1, 3), F.substring(d, 4, 3), F.substring(d, 7, 3))).when(F.length(d) == 10, F.concat_ws(" ", F.substring(d, 1, 3), F.substring(d, 4, 3), F.substring(d, 7, 4))).otherwise(phone)
+
+
+def without(text: Column, pattern: str) -> Column:
+    """text with blanks for what the pattern finds: a span that one kind of link has taken is no other's."""
+    return F.regexp_replace(text, pattern, " ")
+
+
+def all_links(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """key, kind, value, platform, handle, address, ambiguous and n (times) for each different link of a text.
+
+    Mail addresses take their spans before URLs, these before handles, these before phone numbers of 8 digits or more. A handle belongs to the platform that a word up to CONTEXT characters before
+    it names; one without such a word is ambiguous and counts for instagram, unless a sure link of the same text has the handle too: then it is that link's. A null text has none.
+    """
+    clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "@{2,}", "@")
+    rest = without(clean, EMAIL)
+    last = without(rest, URL)
+    every = lambda of, pattern: F.regexp_extract_all(of, F.lit(pattern), F.lit(1))
+    link = lambda kind, value, platform, handle, address, ambiguous: F.struct(F.lit(kind).alias("kind"), value.alias("value"), platform.alias("platform"), handle.alias("handle"), address.alias("address"), ambiguous.alias("ambiguous"))
+    none, sure = F.lit(None).cast("string"), F.lit(False)
+
+    def of_url(x: Column) -> Column:
+        u = structured(x)
+        return link("url", x, u["platform"], u["handle"], u["address"], sure)
+
+    def of_handle(x: Column) -> Column:
+        name, said = F.lower(F.rtrim(F.regexp_extract(x, r"(@[A-Za-z0-9_.]{2,30})$", 1), F.lit("."))), named_before(x)
+        at = F.coalesce(said, F.lit("instagram"))
+        return link("handle", name, at, name, F.concat(F.lit("https://"), at, F.lit("/"), F.substring(name, 2, 30)), said.isNull())
+
+    found = F.concat(
+        F.transform(every(clean, EMAIL), lambda x: link("email", F.lower(x), F.lit("email"), none, F.concat(F.lit("mailto:"), F.lower(x)), sure)),
+        F.transform(every(rest, URL), of_url),
+        F.transform(every(last, rf"([^@]{{0,{CONTEXT}}}{BEFORE})"), of_handle),
+        F.transform(F.filter(every(without(last, BEFORE), PHONE), lambda x: F.length(digits(x)) >= 8), lambda x: link("phone", x, F.lit("phone"), none, F.concat(F.lit("tel:+"), digits(x)), sure)),
+    )
+    links = rows.select(*key, F.explode(found).alias("_l")).select(*key, "_l.*")
+    known = links.where("handle is not null and not ambiguous").select(*key, "handle").distinct()
+    kept = links.where("not ambiguous").unionByName(links.where("ambiguous").join(known, [*key, "handle"], "left_anti").select(*links.columns))
+    return kept.groupBy(*key, "kind", "platform", "handle", "address", "ambiguous").agg(F.min("value").alias("value"), F.count("*").alias("n"))

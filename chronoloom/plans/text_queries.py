@@ -173,3 +173,33 @@ def m8_m9_rectangles(spark, sf_dir):
 def m18_finite(spark, sf_dir):
     dirty = F.when(F.col("event_id") % 5 == 0, "nan").when(F.col("event_id") % 5 == 1, "true").when(F.col("event_id") % 5 == 2, "1e400").when(F.col("event_id") % 5 == 4, F.col("value").cast("string"))
     return table(spark, sf_dir, "events").select("event_id", maths.finite(dirty, -1.0).alias("x"))
+
+
+def _links_sql() -> str:
+    q = lambda x: x.replace("'", "''")
+    host = "regexp_replace(lower(regexp_extract(x, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]+)', 1)), '^(?:www|m|mobile)\\.', '')"
+    platform = "CASE " + " ".join(f"WHEN host = '{d}' OR host LIKE '%.{d}' THEN '{n}'" for n, ds in links.PLATFORMS.items() for d in ds) + " ELSE 'web' END"
+    among = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
+    return f"""WITH c AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '@{{2,}}', '@', 'g') AS t FROM documents),
+    r AS (SELECT doc_id, t, regexp_replace(t, '{q(links.EMAIL)}', ' ', 'g') AS r FROM c),
+    l AS (SELECT doc_id, t, r, regexp_replace(r, '{q(links.URL)}', ' ', 'g') AS l FROM r),
+    u0 AS (SELECT doc_id, unnest(regexp_extract_all(r, '{q(links.URL)}', 1)) AS x FROM r),
+    u1 AS (SELECT *, {host} AS host, lower(regexp_extract(x, '^(?:[A-Za-z]+://)?[^/?#]+/(?:(?:in|company|add|stories)/)?@?([A-Za-z0-9_.-]{{2,30}})(?:[/?#]|$)', 1)) AS name FROM u0),
+    u2 AS (SELECT *, {platform} AS platform FROM u1),
+    u3 AS (SELECT *, CASE WHEN platform IN {among(links.NAMED)} AND name <> '' AND name NOT IN {among(links.RESERVED)} THEN '@' || name END AS handle FROM u2),
+    h0 AS (SELECT doc_id, unnest(regexp_extract_all(l, '{q(rf"([^@]{{0,{links.CONTEXT}}}{links.BEFORE})")}', 1)) AS x FROM l),
+    h1 AS (SELECT doc_id, rtrim(lower(regexp_extract(x, '(@[A-Za-z0-9_.]{{2,30}})$', 1)), '.') AS name, lower(regexp_extract(x, '(?is).*\\b({links.NAMES})\\b', 1)) AS said FROM h0),
+    h2 AS (SELECT doc_id, name, CASE said WHEN '' THEN NULL WHEN 'insta' THEN 'instagram' WHEN 'twitter' THEN 'x' ELSE said END AS said FROM h1),
+    p0 AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(l, '{q(links.BEFORE)}', ' ', 'g'), '{q(links.PHONE)}', 1)) AS x FROM l),
+    every AS (
+      SELECT doc_id, 'email' AS kind, lower(x) AS value, 'email' AS platform, NULL AS handle, 'mailto:' || lower(x) AS address, false AS ambiguous FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{q(links.EMAIL)}', 1)) AS x FROM c)
+      UNION ALL SELECT doc_id, 'url', x, platform, handle, 'https://' || host || CASE WHEN handle IS NOT NULL THEN '/' || name ELSE regexp_extract(x, '^(?:[A-Za-z]+://)?[^/?#]+([^?#]*?)/*(?:[?#].*)?$', 1) END, false FROM u3
+      UNION ALL SELECT doc_id, 'handle', name, coalesce(said, 'instagram'), name, 'https://' || coalesce(said, 'instagram') || '/' || name[2:31], said IS NULL FROM h2
+      UNION ALL SELECT doc_id, 'phone', x, 'phone', NULL, 'tel:+' || regexp_replace(x, '[^0-9]', '', 'g'), false FROM p0 WHERE length(regexp_replace(x, '[^0-9]', '', 'g')) >= 8)
+    SELECT doc_id, kind, platform, handle, address, ambiguous, min(value) AS value, count(*) AS n FROM every e
+    WHERE NOT ambiguous OR NOT EXISTS (SELECT 1 FROM every k WHERE k.doc_id = e.doc_id AND k.handle = e.handle AND NOT k.ambiguous) GROUP BY ALL"""
+
+
+@query(_links_sql())
+def x20_all_links(spark, sf_dir):
+    return links.all_links(documents(spark, sf_dir), ["doc_id"])

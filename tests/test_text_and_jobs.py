@@ -31,6 +31,21 @@ def test_platform_and_handle(spark):
         assert value(spark, links.public(F.lit(url))) is ok
 
 
+def test_all_links_of_a_text(spark):
+    rows = [
+        (1, "Write to Ana.B@mail.example.com, see https://www.instagram.com/ana.b/?igsh=1 and @ana.b (or tiktok: @ana_b). Call +34 600 100 200!"), (2, "on youtube @@chan and www.youtube.com/watch?v=1 (http://example.org/a/b/)."),
+        (3, "@lonely. 12-34"), (4, None), (5, "x@y.zz x@y.zz mail http://a.example.org:8080/p?q=a@b.cc"),
+    ]
+    got = links.all_links(spark.createDataFrame(rows, "id long, text string"), ["id"]).collect()
+    assert {(r.id, r.kind, r.platform, r.handle, r.ambiguous, r.n) for r in got if r.id < 4} == {
+        (1, "email", "email", None, False, 1), (1, "url", "instagram", "@ana.b", False, 1), (1, "handle", "tiktok", "@ana_b", False, 1), (1, "phone", "phone", None, False, 1),
+        (2, "handle", "youtube", "@chan", False, 1), (2, "url", "youtube", None, False, 1), (2, "url", "web", None, False, 1), (3, "handle", "instagram", "@lonely", True, 1),
+    }
+    addresses = {(r.id, r.address) for r in got}
+    assert {(1, "https://instagram.com/ana.b"), (1, "mailto:ana.b@mail.example.com"), (1, "tel:+34600100200"), (2, "https://example.org/a/b"), (2, "https://youtube.com/watch")} <= addresses
+    assert [(r.n, r.value) for r in got if r.id == 5 and r.kind == "email" and r.address == "mailto:x@y.zz"] == [(2, "x@y.zz")]
+
+
 def test_text_functions(spark):
     assert value(spark, text.key_words(F.lit("  ¡Niño, CAFÉ-bar!  "))) == "nino cafe bar"
     assert value(spark, text.key_letters(F.lit("L'Été 2"))) == "l'ete"
