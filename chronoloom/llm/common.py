@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Into so many runs a hot key is spread before anything is grouped or joined on it.
 RUNS = 64
+#: A table of keys is broadcast only if a count shows that it has no more rows; a row is two numbers. Larger ones are shuffled.
+BROADCAST_ROWS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    context = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir, or what the context was given. It is an error if there is none."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
-        context.setCheckpointDir(at)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return at
 
 
@@ -33,10 +32,10 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and held in the shared folder: later work neither repeats it nor loses it with an executor."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """df, computed once and held as a table in the shared folder: later work neither repeats it nor loses it with an executor, and the planner knows its size."""
+    at = new_folder(df.sparkSession, "cut")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -58,6 +57,33 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_key(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes over all columns of a row. They are the same however the table is split and in whatever order it is read; rows with equal keys are repeats of one another."""
+    columns = [F.array_sort(F.map_entries(f"`{f.name}`")) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in df.schema.fields]
+    nulls = F.array(*(c.isNull() for c in columns))
+    return F.xxhash64(F.lit("a"), nulls, *columns), F.xxhash64(F.lit("b"), nulls, *columns)
+
+
+def narrow(keys: DataFrame) -> DataFrame:
+    """keys, to be broadcast where a count shows that it is small, else to be hashed in the tasks of a shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("shuffle_hash")
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, repeats: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose key (_k1, _k2) is in gone, and with one row of those whose key is in repeats. Both have a key once, and are held already.
+
+    Texts are shuffled only where the keys are too many to broadcast. All columns stay as they are.
+    """
+    names = [free_name(docs, "_k1"), free_name(docs, "_k2")]
+    one, two = row_key(docs)
+    own = lambda keys: narrow(keys.select(F.col("_k1").alias(names[0]), F.col("_k2").alias(names[1])))
+    left = docs.withColumns({names[0]: one, names[1]: two}).join(own(gone), names, "left_anti")
+    if repeats is not None and not repeats.isEmpty():
+        twice = own(repeats)
+        left = left.join(twice, names, "left_anti").unionAll(left.join(twice, names, "left_semi").dropDuplicates(names))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def lookup(rows: DataFrame, values: DataFrame, key: list[str], spread: Column) -> DataFrame:
     """rows with the columns of values for their key (a left join; values has a key once at most).
 
@@ -69,12 +95,16 @@ def lookup(rows: DataFrame, values: DataFrame, key: list[str], spread: Column) -
     return rows.join(runs, [*key, "_run"], "left").drop("_run")
 
 
-def arrow_map(df: DataFrame, names: list[str], make: Callable[[], Callable[..., dict]], schema: str) -> DataFrame:
-    """One result row for each row of df: make() gives a function once in a task; it maps lists of the named columns to a dict of lists."""
+def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def arrow_map(df: DataFrame, names: list[str], make: Callable[[], Callable[..., dict]], schema: str) -> DataFrame:
+    """One result row for each row of df: make() gives a function once in a task; it maps lists of the named columns to a dict of lists."""
+    out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()

@@ -1,9 +1,9 @@
-"""Exact dedup by a tree merge of digest runs.
+"""Exact dedup by a tree merge of sorted digest runs.
 
-Rows are dealt into runs. In the first round each run keeps one entry for each digest; in each further round
-groups of runs meet and merge, and the last round leaves one entry for each digest. The winner of a digest then
-goes back down to the runs of the first round and on to the rows. So no task ever holds the rows of a hot digest:
-it meets at most one entry for each run. Only digests move, never texts.
+Rows are dealt into 2 ** k runs, each with one entry for a digest. In round r run i takes in run i + 2 ** r, for each i that
+2 ** (r + 1) divides: the two runs' entries are brought together by digest and run, sorted, and merged to one entry, the identifier that stays and the
+number of rows. After k rounds one run is left, with one entry for each digest. The winner of a digest then goes back down to the runs of the first
+round and on to the rows. So no task ever holds the rows of a hot digest: it meets two entries at most. Only digests move, never texts.
 
 Two texts count as equal when SHA-256, a second 64-bit hash and the length in bytes of their normal forms agree:
 all three are part of the key in every round, which is the verification of each merge.
@@ -14,60 +14,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RUNS, ascii_lower, cut, free_name
+from .common import ascii_lower, cut, drop_rows, row_key
 
-#: So many runs merge into one in a round.
-FAN_IN = 8
-KEY = ["text_sha256", "_check", "_bytes"]
+#: Rows for which there is a run, and the least and largest number of runs.
+ROWS_A_RUN, RUNS, MOST_RUNS = 1 << 20, 64, 4096
+KEY = ["_sha", "_check", "_bytes"]
 
 
 def text_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, the digest columns, the row's own number and its run, for each row; a null text counts as empty."""
+    """doc_id, the digest columns, the row's key and a number of its own, for each row; a null text counts as empty. The number is good only where the result is held."""
     normal = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), normal.alias("_text"))
+    one, two = row_key(docs)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), one.alias("_k1"), two.alias("_k2"), F.monotonically_increasing_id().alias("_row"), normal.alias("_text"))
     return rows.select(
-        "doc_id", "_row", F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"), F.xxhash64("_text").alias("_check"),
-        F.octet_length("_text").alias("_bytes"), F.pmod(F.xxhash64("_row"), F.lit(RUNS)).cast("int").alias("_run"),
+        "doc_id", "_k1", "_k2", "_row", F.unhex(F.sha2(F.col("_text").cast("binary"), 256)).alias("_sha"), F.xxhash64("_text").alias("_check"),
+        F.octet_length("_text").alias("_bytes"),
     )
 
 
-def merge_runs(digests: DataFrame, largest: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The entries after the first round, and those of the last: the row that stays and the group's size for each digest."""
+def runs_for(n: int) -> int:
+    """The number of runs, a power of two."""
+    runs = RUNS
+    while runs < MOST_RUNS and runs * ROWS_A_RUN < n:
+        runs *= 2
+    return runs
+
+
+def merge_runs(digests: DataFrame, runs: int, largest: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The entries of the first runs, and those of the last: the row that stays and the group's size for each digest. digests has _run, from 0 to runs - 1."""
     pick: type | Column
     pick = F.max if largest else F.min
     first = digests.groupBy(*KEY, "_run").agg(pick(F.struct("doc_id", "_row")).alias("_stays"), F.count("*").alias("_size"))
-    level, runs = first, RUNS
-    while runs > 1:
-        runs = -(-runs // FAN_IN)
-        by = [*KEY, F.pmod(F.col("_run"), F.lit(runs)).alias("_run")] if runs > 1 else KEY
-        level = level.groupBy(*by).agg(pick("_stays").alias("_stays"), F.sum("_size").alias("_size"))
-    return first, level
+    level, stride = first, 1
+    while stride < runs:
+        met = level.withColumn("_run", F.col("_run") - F.col("_run") % (2 * stride)).repartition(*KEY, "_run").sortWithinPartitions(*KEY, "_run")
+        level = met.groupBy(*KEY, "_run").agg(pick("_stays").alias("_stays"), F.sum("_size").alias("_size"))
+        stride *= 2
+    return first, level.drop("_run")
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", largest: bool = True) -> DataFrame:
-    """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, and _row, its number in docs.
+    """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, and _k1 and _k2, the row's key.
 
     The row with the largest (or smallest) doc_id of a group stays. Null texts equal empty ones. A null doc_id is
-    smaller than any other. Where a whole row repeats, the repeat read last stays (first, for the smallest). An empty table gives no rows;
-    other columns don't matter. docs must give its rows in the same order each time it is read, as tables do.
+    smaller than any other. Where a whole row repeats, or rows tie on doc_id, one of them is kept. Texts of any length count whole. An empty table gives no rows;
+    other columns don't matter.
     """
     digests = cut(text_digests(docs, doc_id, text))
-    first, last = merge_runs(digests, largest)
+    runs = runs_for(digests.count())
+    digests = digests.withColumn("_run", F.pmod(F.xxhash64("_row"), F.lit(runs)).cast("int"))
+    first, last = merge_runs(digests, runs, largest)
     down = first.select(*KEY, "_run").join(last, KEY)
     return digests.join(down, [*KEY, "_run"]).select(
         "doc_id", F.col("_stays.doc_id").alias("keep_id"), F.col("_size").alias("group_size"),
-        (F.col("_row") == F.col("_stays._row")).alias("kept"), "text_sha256", "_row",
+        (F.col("_row") == F.col("_stays._row")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"), "_k1", "_k2",
     )
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup drops; all columns stay as they are."""
-    stays = exact_dedup(docs).where("kept").select("_row")
-    return keep_rows(docs, stays)
+    """docs without the rows that exact_dedup drops; all columns stay as they are.
 
-
-def keep_rows(docs: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of docs whose number is in rows (left_anti: is not). The numbers are hashed, so texts move once and aren't sorted."""
-    own = free_name(docs, "_row")
-    numbered = docs.withColumn(own, F.monotonically_increasing_id())
-    return numbered.join(rows.select(F.col("_row").alias(own)).hint("shuffle_hash"), own, how).drop(own)
+    Nulls, ties and long texts are as there; of rows that repeat one stays, whatever the files are split into when they are read again. An empty table stays empty; columns of any
+    other name may be there.
+    """
+    told = cut(exact_dedup(docs).groupBy("_k1", "_k2").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    return drop_rows(docs, told.where("not kept").select("_k1", "_k2"), told.where("kept and n > 1").select("_k1", "_k2"))

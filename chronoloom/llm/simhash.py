@@ -5,6 +5,10 @@ t of the parts with sum k - m + 1 there is a part in which they differ in at mos
 probed with all values within t bits. For each m a dynamic program deals out the thresholds so that the estimated rows probed and candidates
 compared cost least; the estimates use histograms and bit counts over all fingerprints. The cheapest m is taken.
 All this concerns speed alone: any allocation finds every pair. Equal fingerprints are one before any pair is looked for.
+
+Only components matter, so buckets (a part with a value) are worked off by contraction. First the rows of a bucket meet some pivots of it, and what
+links is joined; so a dense group becomes one component by some links a row. Then the probes of rows outside a bucket's largest component meet all its rows,
+and the probes of rows inside it meet the rows outside: pairs within the largest component are never looked at, and no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -12,7 +16,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -22,22 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, lookup
-from .exact_dedup import keep_rows
 from .graph import components
 
-WORDS, BITS = 4, 4
-#: For verified groups: shingles of so many words and their least similarity.
-SHINGLE, SIMILARITY = 5, 0.8
-BINS = 128
-#: A sketch in short, two bits a bin in these columns of 64 bits: bins that agree in the sketches agree in these.
-CODES = ("c0", "c1", "c2", "c3")
-SEED = 42
+WORDS, BITS, SEED = 4, 4, 42
 #: What a row probed and a candidate compared cost, in microseconds.
 PROBE_COST, CANDIDATE_COST = 2.0, 0.05
 BLOCK = 1 << 16
-#: Bands of min-hashes over sets of shingles, and min-hashes in each: of pairs of similarity 0.8 all but (1 - 0.8 ** BAND) ** BANDS = 6e-7 share a band.
-BANDS, BAND = 36, 5
-MIXERS, ODD = (np.random.default_rng(SEED + i).integers(0, 1 << 64, BANDS * BAND, np.uint64) | np.uint64(i) for i in (0, 1))
+#: Pivots of a bucket, and rounds in which its rows meet them.
+PIVOTS, ROUNDS = 3, 2
 
 
 def hashes(text: str, words: int = WORDS) -> np.ndarray:
@@ -63,47 +58,15 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.int64)[0])
 
 
-def sketch(h: np.ndarray, words: int) -> bytes:
-    """The least hash of the longer shingles in each of BINS bins, from those of the shorter; 0 for an empty bin."""
-    n = max(1, len(h) - (SHINGLE - words)) if len(h) else 0
-    x = np.zeros(n, np.uint64)
-    for j in range(SHINGLE - words + 1):
-        if len(h) >= n + j:
-            x = (x ^ h[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-            x ^= x >> np.uint64(29)
-    x = np.unique(x * np.uint64(0xBF58476D1CE4E5B9))
-    bins, first = np.unique(x >> np.uint64(57), return_index=True)
-    out = np.zeros(BINS, "<u2")
-    out[bins.astype(int)] = (x[first] >> np.uint64(8)).astype("<u2") | np.uint16(1)
-    return out.tobytes()
-
-
-def codes(sketches: list[bytes]) -> list[np.ndarray]:
-    """The columns CODES: a bin is 0 if empty, else one of 1 to 3."""
-    x = np.frombuffer(b"".join(sketches), "<u2").reshape(-1, BINS)
-    two = np.where(x == 0, 0, 1 + (x >> 1) % 3).astype(np.uint8)
-    bits = np.stack((two & 1, two >> 1), axis=2).reshape(len(x), 2 * BINS)
-    return list(np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little").view("<i8").T))
-
-
-def fingerprints(docs: DataFrame, words: int = WORDS, sketched: bool = False) -> DataFrame:
-    """doc_id, _row and fp for each row of docs; with sketched also its sketch and its codes, and fp is of the distinct shingles."""
-    fields = [("doc_id", "long"), ("_row", "long"), ("fp", "long")] + [("sketch", "binary"), *((c, "long") for c in CODES)] * sketched
-    types = [pa.binary() if kind == "binary" else pa.int64() for _, kind in fields]
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id and fp for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sketches = [], []
-            for text in batch.column(2):
-                h = hashes(text.as_py() or "", words)
-                fps.append(fingerprint(np.unique(h) if sketched else h))
-                if sketched:
-                    sketches.append(sketch(h, words))
-            columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), fps, *([sketches, *codes(sketches)] if sketched else [])]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=[name for name, _ in fields])
+            found = [fingerprint(hashes(x.as_py() or "", words)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), "text")
-    return rows.mapInArrow(run, ", ".join(map(" ".join, fields)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 @dataclass
@@ -135,17 +98,18 @@ def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
     """Over all fingerprints: their number, and in how many of them two bits are both set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((64, 64), np.int64)
+        both, n = np.zeros((64, 64), np.int64), 0
         for batch in batches:
+            n += len(batch)
             x = np.unpackbits(np.asarray(batch.column(0)).astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
             both += (x.T @ x).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(range(4096), pa.int32()), pa.array(both.ravel())], names=["i", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(4097), pa.int32()), pa.array([*both.ravel().tolist(), n])], names=["i", "n"])
 
-    rows = fps.select("fp").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    both = np.zeros(4096, np.int64)
+    rows = fps.select("fp").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()  # 4097 sums
+    both = np.zeros(4097, np.int64)
     for i, n in rows:
         both[i] = n
-    return fps.count(), both.reshape(64, 64)
+    return int(both[4096]), both[:4096].reshape(64, 64)
 
 
 def grouped(n: int, both: np.ndarray, m: int) -> list[Part]:
@@ -215,165 +179,72 @@ def plan(fps: DataFrame, k: int) -> list[Part]:
     return tried[min(costs)[1]][2]
 
 
-def codes_agree(a: str, b: str, least: float) -> Column:
-    """Whether the codes of a and b (prefixes of columns) agree in so large a share of the bins that aren't empty in both: true for all pairs whose sketches do."""
-    low = F.lit(0x5555555555555555)
-    bins = lambda x: F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low))
-    pairs = [(F.col(f"{a}{c}"), F.col(f"{b}{c}")) for c in CODES]
-    differ, full = (reduce(Column.__add__, (bins(f(x, y)) for x, y in pairs)) for f in (Column.bitwiseXOR, Column.bitwiseOR))
-    return differ <= full * (1 - least) + 1e-6
-
-
-def close_pairs(fps: DataFrame, k: int, similarity: float | None = None) -> DataFrame:
-    """a < b, all pairs of distinct fingerprints fp that differ in at most k bits, each once; with similarity without those whose codes show that it isn't reached.
-
-    A pair is given by the first part that finds it, so no pair needs to be dropped afterwards. Both sides of the join are plain
-    shuffles: adaptive execution splits a part's value that is hot.
-    """
-    parts = [x for x in plan(fps, k) if x.threshold >= 0]
-    if not parts:
-        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    fp = F.col("fp")
+def buckets(nodes: DataFrame, parts: list[Part]) -> DataFrame:
+    """nodes (fp, root), once for each part, with part and value."""
+    keys = F.array(*(F.struct(F.lit(i).alias("part"), x.value(F.col("fp")).alias("value")) for i, x in enumerate(parts)))
+    return nodes.select("fp", "root", F.explode(keys).alias("x")).select("fp", "root", "x.part", "x.value")
 
-    def key(i: int, value: Column) -> Column:
-        return F.struct(F.lit(i).alias("part"), value.alias("value"))
 
-    def probes(i: int, part: Part) -> Column:
-        value = part.value(fp)
-        return F.transform(F.array(*(F.lit(m).cast("long") for m in part.ball())), lambda m: key(i, value.bitwiseXOR(m)))
+def probes(nodes: DataFrame, parts: list[Part]) -> DataFrame:
+    """nodes (fp, root), once for each part and value within the part's threshold."""
 
-    more = CODES if similarity is not None else ()
-    held = fps.select(fp.alias("b"), *more, F.explode(F.array(*(key(i, x.value(fp)) for i, x in enumerate(parts)))).alias("x")).select("b", *more, "x.part", "x.value")
-    probed = fps.select(fp.alias("a"), *more, F.explode(F.concat(*(probes(i, x) for i, x in enumerate(parts)))).alias("x")).select("a", *more, "x.part", "x.value")
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    first = F.lit(len(parts))
-    for i, x in reversed(list(enumerate(parts))):
-        first = F.when(F.bit_count(differ.bitwiseAND(F.lit(x.mask - (x.mask >> 63 << 64)).cast("long"))) <= x.threshold, i).otherwise(first)
-    probed, held = probed.alias("p"), held.alias("h")
-    matched = (F.col("p.part") == F.col("h.part")) & (F.col("p.value") == F.col("h.value"))
-    matched &= (F.col("a") < F.col("b")) & (F.bit_count(differ) <= k)
-    if similarity is not None:
-        matched &= codes_agree("p.", "h.", similarity)
-    return probed.join(held, matched & (first == F.col("p.part"))).select("a", "b")
+    def ball(i: int, part: Part) -> Column:
+        value = part.value(F.col("fp"))
+        return F.transform(F.array(*(F.lit(m).cast("long") for m in part.ball())), lambda m: F.struct(F.lit(i).alias("part"), value.bitwiseXOR(m).alias("value")))
 
+    keys = F.concat(*(ball(i, x) for i, x in enumerate(parts)))
+    return nodes.select("fp", "root", F.explode(keys).alias("x")).select("fp", "root", "x.part", "x.value")
 
-def similar(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sketches (fp, sketch) agree in so large a share of the bins that aren't empty in both."""
 
-    @F.pandas_udf("boolean")
-    def agree(x, y):
-        import pandas as pd
+def largest_roots(held: DataFrame) -> DataFrame:
+    """part, value and top, the root that most rows of the bucket have."""
+    counted = held.groupBy("part", "value", "root").agg(F.count("*").alias("n"))
+    return counted.groupBy("part", "value").agg(F.max(F.struct("n", "root")).alias("x")).select("part", "value", F.col("x.root").alias("top"))
 
-        a, b = (np.frombuffer(b"".join(c), "<u2").reshape(-1, BINS) for c in (x, y))
-        full = ((a != 0) | (b != 0)).sum(1)
-        return pd.Series(((a == b) & (a != 0)).sum(1) >= least * full)
 
-    left = cut(lookup(cut(pairs), sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), ["a"], F.col("b")))  # lookup reads its rows twice
-    return lookup(left, sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), ["b"], F.col("a")).where(agree("x", "y")).select("a", "b")
+def link_roots(fps: DataFrame, k: int) -> DataFrame:
+    """fp and root, the least fingerprint that links of at most k differing bits lead to, for each of the distinct fingerprints fps."""
+    parts = [x for x in plan(fps, k) if x.threshold >= 0]
+    nodes = fps.select("fp", F.col("fp").alias("root"))
+    if not parts:
+        return nodes
+    links = None
+    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= k
+    by = ["part", "value"]
+    for r in range(ROUNDS):
+        held = buckets(nodes, parts)
+        order = [F.min_by("fp", F.xxhash64("fp", F.lit(PIVOTS * r + j))) for j in range(PIVOTS)]
+        pivots = held.groupBy(*by).agg(F.array_distinct(F.array(*order)).alias("pivots"), F.count("*").alias("n")).where("n > 1")
+        met = held.join(pivots, by).select("fp", "root", F.explode("pivots").alias("pivot")).where((F.col("fp") != F.col("pivot")) & close("fp", "pivot"))
+        new = met.select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")).distinct()
+        links = cut(new if links is None else links.union(new).distinct())
+        nodes = rooted(fps, links)
+    held = buckets(nodes, parts)
+    tops = largest_roots(held)
+    asking = probes(nodes, parts).join(tops, by).select(F.col("fp").alias("a"), F.col("root").alias("roota"), *by, (F.col("root") == F.col("top")).alias("inside"))
+    asked = held.join(tops, by).withColumn("inside", F.explode(F.when(F.col("root") == F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    found = asking.join(asked.select(F.col("fp").alias("b"), F.col("root").alias("rootb"), *by, "inside"), [*by, "inside"]).where((F.col("roota") != F.col("rootb")) & close("a", "b"))
+    more = found.select(F.least("roota", "rootb").alias("a"), F.greatest("roota", "rootb").alias("b")).distinct()
+    far = components(more).withColumnsRenamed({"node": "root", "root": "_far"})
+    return lookup(nodes, far, ["root"], F.col("fp")).select("fp", F.coalesce("_far", "root").alias("root"))
+
+
+def rooted(fps: DataFrame, links: DataFrame) -> DataFrame:
+    roots = components(links).withColumnRenamed("node", "fp")
+    return cut(fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id and _row, _first for each row of docs.
+    """doc_id, fingerprint (hex) and component_id for each row of docs.
 
-    component_id is the least doc_id that links of at most bits differing bits lead to, _first the least row number. A null text counts as empty; texts without a word have fingerprint zero and link like any other; null doc_ids are left out of
-    the least one, which is null where all are. Rows that repeat are in one component. An empty table gives no rows; other columns don't matter.
+    component_id is the least doc_id that links of at most bits differing bits lead to. A null text counts as empty; texts without a word have fingerprint zero and link like any
+    other; null doc_ids are left out of the least one, which is null where all are. Whole texts count, however long. Rows that repeat, and ties, are in one component. An empty
+    table gives no rows; other columns don't matter.
     """
     rows = cut(fingerprints(docs, words))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("_row").alias("_first")))
-    pairs = close_pairs(distinct.select("fp"), bits)
-    roots = components(pairs).withColumnRenamed("node", "fp")
-    known = distinct.select("fp", "least", "_first").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"), F.min("_first").alias("_first"))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = cut(link_roots(distinct.select("fp"), bits))
+    known = distinct.join(roots, "fp")
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = cut(lookup(known.select("fp", "root"), least, ["root"], F.col("fp")).drop("root"))
-    return lookup(rows.select("doc_id", "_row", "fp"), by_fp, ["fp"], F.col("_row")).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "_row", "_first"
-    )
-
-
-def shingles(text: str) -> np.ndarray:
-    """The set of a text's SHINGLE-word shingles, as sorted hashes."""
-    return np.unique(hashes(text, SHINGLE))
-
-
-def band_keys(x: np.ndarray) -> np.ndarray:
-    """A key for each band of a set: two sets share a band's key if all its min-hashes agree, which each does with a chance of their similarity."""
-    least = np.full(len(MIXERS), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(x), 256):
-        part = (x[i : i + 256, None] ^ MIXERS[None, :]) * np.uint64(0x9E3779B97F4A7C15)
-        part ^= part >> np.uint64(32)
-        part *= ODD[None, :]
-        np.minimum(least, part.min(0), out=least)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, BAND).T:
-        out = (out ^ column) * np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
-
-
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """_row, the set's digest (two hashes), its size and its bands' keys, for each row of docs; a null text counts as empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(x or "") for x in batch.column(1).to_pylist()]
-            digests = [xxhash.xxh128_digest(x.tobytes(), SEED) for x in sets]
-            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array([len(x) for x in sets], pa.int64())]
-            columns.append(pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, names=["_row", "digest", "n", "keys"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "text")
-    return rows.mapInArrow(run, "_row long, digest binary, n long, keys array<long>")
-
-
-def verified(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b: rows of docs) whose sets of shingles have at least that similarity, exactly."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([shingles(x or "").tobytes() for x in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["_row", "x"])
-
-    @F.pandas_udf("boolean")
-    def alike(x, y):
-        import pandas as pd
-
-        sets = ((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(x, y, strict=True))
-        common = [(len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b)) for a, b in sets]
-        return pd.Series([both >= least * (total - both) - 1e-9 for both, total in common], dtype=bool)
-
-    nodes = pairs.select(F.col("a").alias("_row")).union(pairs.select(F.col("b").alias("_row"))).distinct()
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "text")
-    sets = cut(numbered.join(nodes.hint("shuffle_hash"), "_row", "left_semi").mapInArrow(run, "_row long, x binary"))
-    left = cut(lookup(pairs, sets.select(F.col("_row").alias("a"), "x"), ["a"], F.col("b")))
-    return lookup(left, sets.select(F.col("_row").alias("b"), F.col("x").alias("y")), ["b"], F.col("a")).where(alike("x", "y")).select("a", "b")
-
-
-def near_rows(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """_row and _first, the least row number of its group, for each row of docs. Groups are linked by pairs whose sets of shingles have that similarity.
-
-    Equal sets are one node. Two sets meet if they share a band's key. First each meets the least of each of its keys' sets, then all that share a key and
-    aren't in one group yet meet: so a group of very many near copies needs no pair of each two of them.
-    """
-    rows = cut(shingle_sets(docs))
-    nodes = cut(rows.groupBy("digest").agg(F.min("_row").alias("node"), F.first("n").alias("n")))
-    own = lookup(rows.select("_row", "digest"), nodes.select("digest", "node"), ["digest"], F.col("_row")).select("_row", "node")
-    keyed = rows.join(nodes.select(F.col("node").alias("_row")), "_row", "left_semi").select(F.col("_row").alias("node"), "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max("node").alias("high")).where("low.node < high")
-    members = cut(keyed.join(shared.select("key", "low"), "key"))  # plain shuffles: adaptive execution splits a hot key's rows
-    near = lambda x, y: (F.col(x) >= least * F.col(y) - 1e-9) & (F.col(y) >= least * F.col(x) - 1e-9)
-    stars = cut(members.where((F.col("low.node") < F.col("node")) & near("n", "low.n")).select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = cut(verified(docs, stars, least))
-    rooted = lookup(members.select("key", "node", "n"), components(links).withColumnRenamed("root", "_root"), ["node"], F.col("key"))
-    rooted = cut(rooted.select("key", "node", "n", F.coalesce("_root", "node").alias("root")))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", F.lit(True).alias("_open"))
-    rooted = cut(lookup(rooted, open_keys, ["key"], F.col("node")).where("_open").drop("_open"))
-    one, two = (rooted.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"root{x}")) for x in "ab")
-    others = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & near("na", "nb")).select("a", "b").distinct()
-    more = verified(docs, cut(others.join(stars, ["a", "b"], "left_anti")), least)
-    roots = components(links.union(more)).select("node", F.col("root").alias("_root"))
-    return lookup(own, roots, ["node"], F.col("_row")).select("_row", F.coalesce("_root", "node").alias("_first"))
-
-
-def drop_near(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near-duplicates, that read first: pairs of five-word similarity SIMILARITY, held set against set."""
-    return keep_rows(docs, near_rows(docs).where("_row = _first").select("_row"))
+    return lookup(rows, by_fp, ["fp"], F.col("doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
