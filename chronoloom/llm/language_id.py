@@ -9,22 +9,21 @@ one matrix of fixed size, and a batch of texts is scored by one matrix product.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out
+from .common import arrow_map, cut, held_out, narrow
 
 SPECTRUM = (1, 2, 3, 4)
 DIMENSIONS = 1 << 14
-#: The model learns from about so many texts of a language; of these, so many are landmarks. At most so many languages, the most frequent ones.
-SAMPLE, LANDMARKS, LANGUAGES = 400, 64, 256
+#: The model learns from so many texts of a language at most, of which so many are landmarks. With many languages each gets an equal share of so many texts and landmarks in all, but one at least: no language is left out.
+SAMPLE, LANDMARKS, TEXTS_IN_ALL, LANDMARKS_IN_ALL = 400, 64, 25_600, 2_048
 RIDGE = 1e-3
-BATCH, BLOCK = 256, 1 << 20
+BATCH, BLOCK = 256, 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -53,57 +52,72 @@ def has_letter(text: str | None) -> bool:
     return bool(m) and (m[0].isalpha() or any(x.isalpha() for x in text))
 
 
-def fit(vectors: np.ndarray, langs: list[str], seed: int = 42) -> tuple[list[str], np.ndarray]:
-    """The languages and the matrix that maps a presence vector of length 1 to their scores."""
+def quota(languages: int) -> tuple[int, int]:
+    """Texts and landmarks of each of so many languages."""
+    n = max(1, languages)
+    return max(1, min(SAMPLE, TEXTS_IN_ALL // n)), max(1, min(LANDMARKS, LANDMARKS_IN_ALL // n))
+
+
+def kernel_rows(bits: np.ndarray) -> np.ndarray:
+    """Presence vectors, given as packed bits, at length 1."""
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
+
+
+def fit(bits: np.ndarray, langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """The languages and the matrix that maps a presence vector of length 1 to their scores; bits are the packed vectors of the texts."""
     names = sorted(set(langs))
-    x = vectors.astype(np.float32)
-    x /= np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
     own = np.array([names.index(v) for v in langs])
-    marks = np.concatenate([np.flatnonzero(own == i)[:LANDMARKS] for i in range(len(names))])
-    land = x[marks].astype(np.float64)
-    values, turn = np.linalg.eigh(land @ land.T)
+    each = quota(len(names))[1]
+    marks = np.concatenate([np.flatnonzero(own == i)[:each] for i in range(len(names))])
+    land = kernel_rows(bits[marks])
+    values, turn = np.linalg.eigh(land.astype(np.float64) @ land.T.astype(np.float64))
     good = values > 1e-8 * values.max()
     root = turn[:, good] / np.sqrt(values[good])
-    features = (x @ land.T.astype(np.float32)).astype(np.float64) @ root
+    features = np.concatenate([(kernel_rows(bits[i : i + BATCH]) @ land.T).astype(np.float64) @ root for i in range(0, len(bits), BATCH)])
     mean = features.mean(0)
     y = (own[:, None] == np.arange(len(names))).astype(np.float64)
     # languages weigh alike, whatever their share of the sample
     weight = (1 / np.maximum(1, y.sum(0)))[own][:, None]
     weight /= weight.mean()
     centred = features - mean
-    w = np.linalg.solve(centred.T @ (weight * centred) + RIDGE * len(x) * np.eye(features.shape[1]), centred.T @ (weight * (y - y.mean(0))))
+    w = np.linalg.solve(centred.T @ (weight * centred) + RIDGE * len(bits) * np.eye(features.shape[1]), centred.T @ (weight * (y - y.mean(0))))
     bias = y.mean(0) - mean @ w
-    return names, np.vstack((land.T @ root @ w, bias)).astype(np.float32)
+    return names, np.vstack((land.T @ (root @ w).astype(np.float32), bias)).astype(np.float32)
+
+
+def sample_of(docs: DataFrame) -> DataFrame:
+    """lang, _order and text of the rows to learn from: of each language those of the least hashes of doc_id and text, quota() of them at most, repeats once."""
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").alias("_lang"), F.xxhash64("doc_id", "text").alias("_order"), "text")
+    counts = cut(known.groupBy("_lang").agg(F.count("*").alias("_n")))
+    texts = quota(counts.count())[0]
+    chance = F.pmod("_order", F.lit(1 << 30)) / (1 << 30)
+    some = known.join(narrow(counts), "_lang").where(chance < 2 * texts / F.col("_n")).dropDuplicates(["_lang", "_order"])  # about twice what is wanted
+    ranked = some.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(F.pmod("_order", F.lit(1 << 30)), "_order")))
+    return ranked.where(F.col("_rank") <= texts).select("_lang", "_order", "text")
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray] | None:
-    """Fits on a sample of SAMPLE texts a language, drawn by a hash of doc_id from the rows that may be learnt from; only presence bits reach the driver."""
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return None
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], SAMPLE / r["count"])))
-    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 30)) / (1 << 30)
-    sample = known.where(chance < share[F.col("lang")]).where("text is not null").select("doc_id", "lang", "text")
+    """Fits on sample_of(docs), at most max(TEXTS_IN_ALL, number of languages) texts, of which only presence bits reach the driver."""
 
     def make():
-        return lambda doc_ids, langs, texts: {"doc_id": doc_ids, "lang": langs, "bits": [np.packbits(presence(x)).tobytes() if has_letter(x) else None for x in texts]}
+        return lambda langs, orders, texts: {"lang": langs, "order": orders, "bits": [np.packbits(presence(x)).tobytes() if has_letter(x) else None for x in texts]}
 
-    rows = arrow_map(sample, ["doc_id", "lang", "text"], make, "doc_id long, lang string, bits binary").where("bits is not null").collect()
+    rows = arrow_map(sample_of(docs), ["_lang", "_order", "text"], make, "lang string, order long, bits binary").where("bits is not null").collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["bits"])))
-    return fit(np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint8).reshape(len(rows), -1), axis=1), [r["lang"] for r in rows])
+    rows.sort(key=lambda r: (r["order"], r["lang"]))
+    return fit(np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint8).reshape(len(rows), -1), [r["lang"] for r in rows])
 
 
 def languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row of docs; predictions use the text alone.
 
-    A text that is null or has no letter is und with score 0, and so is every text where there is nothing to learn from. Rows that repeat give repeated
-    results; a null doc_id counts as held out; an empty table gives no rows; other columns don't matter.
+    A text that is null or has no letter is und with score 0, and so is every text where there is nothing to learn from. Of languages that tie the first by name is given. Rows that repeat give
+    repeated results; a null doc_id counts as held out; an empty table gives no rows; texts of any length count whole, in blocks; other columns don't matter.
     """
     model = train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LANGUAGES columns of DIMENSIONS floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a column of DIMENSIONS floats for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shared.value or ([UNKNOWN], np.zeros((DIMENSIONS + 1, 1), np.float32))

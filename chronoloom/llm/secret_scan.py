@@ -1,8 +1,9 @@
 """Secrets in texts: fixed patterns, and random strings found by token efficiency.
 
-Under a BPE vocabulary prose takes few tokens for its characters, random strings many. A run of the characters of keys and encoded bytes
-with too few characters for a token is a secret, unless it is a digest or an identifier: of hexadecimal digits alone,
-digits alone, a UUID, or without either a digit or enough changes of case.
+Under a BPE vocabulary prose takes few tokens for its characters, random strings many. A run of the characters of keys and encoded bytes is
+split at / _ - and =; a part with too few characters for a token is random, and neighbouring random parts are one secret. Left out are known digests (hexadecimal digits alone, what
+follows the name of a hash function, with its length) and identifiers (digits alone, UUIDs). Short parts and letters of one case alone,
+which words of some languages and names in code resemble, must be less efficient still.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from . import bpe
 from .common import arrow_map
 
+#: The kinds in the order in which ties are listed.
 KINDS = ("assign", "access", "hex", "random")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(
@@ -23,11 +25,17 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # the shorter ones fail, and no longer one begins inside them
 HEX = re.compile(r"[0-9a-f]{32,}")  # likewise
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-PLAIN = re.compile(r"[0-9a-fA-F]+|[0-9_=+/-]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-CASE = re.compile(r"[a-z][A-Z]")
-#: A run with fewer characters for a token is random.
-RATIO = 2.0
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile(r"[A-Za-z0-9+]+")
+PLAIN = re.compile(r"[0-9a-fA-F]+|[0-9+]+")
+UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+#: A hash function's name, before or at the beginning of a run, and the lengths of its digests in base32 or base64, padded or not.
+HASH = re.compile(r"(?i)\b(?:sha-?(?:1|224|256|384|512)|md5|blake2[bs]|blake3)[:=-]")
+DIGESTS = frozenset((22, 24, 26, 27, 28, 32, 38, 39, 40, 43, 44, 52, 56, 64, 77, 80, 86, 88, 103, 104))
+ONE_CASE = re.compile(r"[a-z]+|[A-Z]+|[A-Z][a-z]+")
+#: Characters of a part, and those from which on it isn't short; a part with fewer characters for a token is random: of any, of a short part, of letters of one case.
+LEAST, LONG = 16, 20
+RATIO, SHORT_RATIO, ONE_CASE_RATIO = 2.0, 1.8, 1.9
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
 
@@ -43,18 +51,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def is_random(part: str, ratio: float = RATIO) -> bool:
+    if len(part) < LEAST or PLAIN.fullmatch(part):
+        return False
+    least = min(ratio, SHORT_RATIO if len(part) < LONG else ratio, ONE_CASE_RATIO if ONE_CASE.fullmatch(part) else ratio)
+    return len(part) < least * len(bpe.ids(part))
+
+
+def digest_end(text: str, start: int, end: int) -> int:
+    """The end of the digest that a run begins with, by the name of its hash function; start if it doesn't."""
+    m = None
+    for m in HASH.finditer(text, max(0, start - 12), min(end, start + 12)):
+        pass
+    if not m or m.end() < start:
+        return start
+    run = re.compile(r"[A-Za-z0-9+/_-]+={0,6}").match(text, m.end())
+    return run.end() if run and len(run[0]) in DIGESTS else start
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], ratio: float = RATIO) -> list[tuple[int, int, int]]:
     """Those of random strings that don't touch a base span."""
-    found = []
+    found: list[tuple[int, int, int]] = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if PLAIN.fullmatch(run) or not (any(x.isdigit() for x in run) or len(CASE.findall(run)) >= 3):
-            continue
-        if any(a < m.end() and m.start() < b for a, _, b in base):
-            continue
-        if len(run) < ratio * len(bpe.ids(run)):
-            found.append((m.start(), 3, m.end()))
-    return found
+        known = digest_end(text, m.start(), m.end())
+        begin = len(found)
+        for x in PART.finditer(text, m.start(), m.end()):
+            if x.start() < known or not is_random(x[0], ratio):
+                continue
+            if any(u.start() <= x.start() < u.end() for u in UUID.finditer(text, m.start(), m.end())):
+                continue
+            if len(found) > begin and x.start() - found[-1][2] == 1:
+                found[-1] = (found[-1][0], 3, x.end())
+            else:
+                found.append((x.start(), 3, x.end()))
+    return [x for x in found if not any(a < x[2] and x[0] < b for a, _, b in base)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

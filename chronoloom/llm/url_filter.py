@@ -86,7 +86,7 @@ def fitted(rows: DataFrame):
     if len(n) < 2:
         return None
     share = F.when(F.col("_said") == "block", SAMPLE / n["block"]).otherwise(SAMPLE / n["allow"])
-    chance = F.pmod(F.xxhash64("url", "_row"), F.lit(1 << 30)) / (1 << 30)
+    chance = F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 30)) / (1 << 30)
     vectors = VectorAssembler(inputCols=[f"_f_{x}" for x in FEATURES], outputCol="_features")
     sample = vectors.transform(labelled.where(chance < share)).select("_features", (F.col("_said") == "block").cast("double").alias("_blocked"))
     trees = GBTClassifier(featuresCol="_features", labelCol="_blocked", maxIter=TREES, maxDepth=DEPTH, seed=SEED)
@@ -101,7 +101,7 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
 
     The longest rule that fits gives the verdict, else the trees do, which learn from a bounded sample of the URLs that rules decide; with rules of one kind
     alone among the URLs, the rest is allowed. A null url, or one without ://, has an empty host and path, and the trees judge it. Rows that
-    repeat give repeated results; an empty table gives no rows; other columns don't matter.
+    repeat give repeated results, of which all or none are in the sample; an empty table gives no rows; URLs of any length count whole; other columns don't matter.
     """
     rows = parts(pages.select("page_id", "url")).withColumn("_row", F.monotonically_increasing_id())
     name, said = rule_of(rules)

@@ -45,9 +45,35 @@ def test_splicing_changes_nothing(parts, chunk, overlap):
     assert token_counts.spliced(text, chunk=chunk, overlap=min(overlap, chunk)).tolist() == bpe.ids(text).tolist()
 
 
-def test_splicing_without_spaces():
-    text = "ab1" * 500
-    assert token_counts.spliced(text, chunk=50, overlap=5).tolist() == bpe.ids(text).tolist()
+def odd_texts(n):
+    """Texts of n characters or so without ASCII spaces, of many kinds."""
+    rng = np.random.default_rng(8)
+    pick = lambda alphabet: "".join(np.array(list(alphabet))[rng.integers(0, len(alphabet), n)])
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    return {
+        "chinese": pick("的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可她里后小么心多天而能好都然没日于起还发成事只作当想看文无开手十用主行方又如前所本见经头面公同三已老从动两长知民样现分将外但身些与高意进把法此实回二理美点月明其种声全工己话儿者向情部正名定女问力机给等几很业最间新什打便位因重被走电四第门相次东政海口使教西再平真听世气信北少关并内加化由却代军产入先山五太水万市眼体别处总才场师书比住员九笑性通目华报立马命张活难神数件安表原车白应路期叫死常提感金何更反合放做系计或司利受光王果亲界及今京务制解各任至清物台象记边共风战干接它许八特觉望直服毛林题建南度统色字请交爱让认算论百吃义科怎元社术结六功指思非流每青管夫连远资队跟带花快条院变联言权往展该领传近留红治决周保达办运武半候七必城父强步完革深区即求品士转量空甚众技轻程告江语英基派满式李息写呢识极令黄德收脸钱党倒未持取设始版双历越史商千片容研像找友孩站广改议形委早房音火际则首单据导影失拿网香似斯专石若兵弟谁校读志飞观争究包组造落视济喜离虽坏兴切古"),
+        "base64": pick(base64), "letters": pick("abcdefghijklmnopqrstuvwxyz"), "repeats": "ab" * (n // 2), "digits": pick("0123456789"), "code": pick("if(x){return;}[]=+-*/<>!&|"),
+        "lines": "\n".join(pick(base64)[i : i + 76] for i in range(0, n, 76)), "special": "ab<|endoftext|>" * (n // 15), "spaces": pick("  a"), "words": pick("the of and to in 's don't "),
+    }
+
+
+@pytest.mark.parametrize("chunk,overlap", [(50, 5), (700, 64)])
+def test_splicing_without_spaces(library, chunk, overlap):
+    for name, text in {**odd_texts(6000), "ab1": "ab1" * 500, "accents": "éà" * 900}.items():
+        assert token_counts.spliced(text, chunk=chunk, overlap=overlap).tolist() == library.encode(text, add_special_tokens=False).ids, name
+
+
+def test_splicing_takes_linear_time():
+    for name, text in odd_texts(240_000).items():
+        work = []
+
+        def encode(x):
+            work.append(len(x))  # noqa: B023
+            return bpe.ids(x)
+
+        got = token_counts.spliced(text, encode=encode)
+        assert got.tolist() == bpe.ids(text).tolist(), name
+        assert sum(work) < 2 * len(text), name
 
 
 def test_token_counts(spark, library):
