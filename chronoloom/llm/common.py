@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,9 +32,28 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, what cut() holds is removed at the end: for work whose result is written by then."""
+    folders: list[str] = []
+    _scratch.append(folders)
+    try:
+        yield
+    finally:
+        _scratch.remove(folders)
+        for at in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and held as a table in the shared folder: later work neither repeats it nor loses it with an executor, and the planner knows its size."""
     at = new_folder(df.sparkSession, "cut")
+    if _scratch:
+        _scratch[-1].append(at)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 

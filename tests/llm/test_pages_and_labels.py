@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
@@ -133,6 +134,35 @@ def test_pairs_of_terms_are_learnt(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_margins_are_those_of_a_double_loop():
+    rng = np.random.default_rng(1)
+    m = toxicity.Machine(np.sort(rng.choice(1 << 32, 50, False).astype(np.uint32)), -0.3, rng.normal(size=50), rng.normal(size=(50, 4)))
+    texts = [np.sort(rng.choice(50, n, False)) for n in (0, 1, 2, 7, 30)]
+    for places, got in zip(texts, m.margins(texts)[0]):
+        expected = m.bias + sum(m.linear[i] for i in places)
+        expected += sum(float(m.factors[i] @ m.factors[j]) for a, i in enumerate(places) for j in places[a + 1 :])
+        assert abs(got - expected) < 1e-9
+    assert m.places(np.array([m.known[3], m.known[3] ^ 1, m.known[9]], np.uint32)).tolist()[0] == 3
+
+
+def test_pairs_whose_terms_say_nothing_alone_are_learnt():
+    """Toxic: both words or neither. Each alone is as often in toxic texts as in others, so no additive model can tell them."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(4000):
+        words = rng.choices([f"w{j}" for j in range(400)], k=30)
+        if i % 4 in (1, 3):
+            words[3] = "insult"
+        if i % 4 in (2, 3):
+            words[20] = "group"
+        rows.append((toxicity.terms(" ".join(words)), float(i % 4 in (0, 3))))
+    hashes, toxic = [x for x, _ in rows], np.array([y for _, y in rows])
+    m = toxicity.fit(hashes[:3000], toxic[:3000], 0.5)
+    assert ((m.score(hashes[3000:]) >= 0.5) == (toxic[3000:] == 1)).mean() > 0.97
+    additive = toxicity.Machine(m.known, m.bias, m.linear, np.zeros_like(m.factors))
+    assert ((additive.score(hashes[3000:]) >= 0.5) == (toxic[3000:] == 1)).mean() < 0.8
+
+
 def test_toxic_documents_of_the_tables(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     got = toxicity.toxicity(docs, labels).join(labels, "doc_id").toPandas()
@@ -141,6 +171,36 @@ def test_toxic_documents_of_the_tables(spark):
     assert got[got.toxic == 1].predicted.mean() > 0.5
 
 
+def test_stages_of_odd_and_empty_tables(spark, tmp_path):
+    """Nulls, empty texts, repeats, a long text and columns of clashing names pass through every stage; an empty table stays empty."""
+    import corpus_pipeline as p
+
+    rows = [(1, None, "en", 1), (2, "", None, None), (3, "word " * 30_000, "en", 3), (3, "word " * 30_000, "en", 3), (None, "no id at all here", "de", 4), (5, "Same Text", "x", 5), (6, "same text", "y", 6)]
+    for name, of in (("odd", rows), ("empty", [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(of, "doc_id long, text string, _k1 string, root int").write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "?")] * (name == "odd"), "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        got = p.run(spark, at).collect()
+        assert {r.doc_id for r in got} == ({2, 3, None, 6} if of else set())
+        assert sum(r.length for r in got if r.doc_id == 2) == (1 if of else 0)
+
+
+def test_held_out_urls_of_known_rules(spark):
+    """Trees that learn from the rules' verdicts on some URLs say the same of others."""
+    from pyspark.sql import functions as F
+
+    rows = url_filter.parts(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")).withColumn("_row", F.monotonically_increasing_id())
+    name, said = url_filter.rule_of()
+    rows = url_filter.with_features(rows.select("*", name.alias("rule"), said.alias("_said"))).where("_said is not null").cache()
+    if rows.select("_said").distinct().count() < 2:
+        pytest.skip("the rules say one thing of all these URLs")
+    held = F.crc32(F.col("page_id").cast("string").cast("binary")) % 5 == 0
+    got = url_filter.fitted(rows.where(~held))(rows.where(held)).select((F.col("_prediction") == (F.col("_said") == "block").cast("double")).cast("int").alias("right")).agg(F.avg("right")).first()[0]
+    print("held-out agreement", got)
+    assert got > 0.9
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 

@@ -50,10 +50,11 @@ def odd_texts(n):
     rng = np.random.default_rng(8)
     pick = lambda alphabet: "".join(np.array(list(alphabet))[rng.integers(0, len(alphabet), n)])
     base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    one = pick(base64)
     return {
         "chinese": pick("的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可她里后小么心多天而能好都然没日于起还发成事只作当想看文无开手十用主行方又如前所本见经头面公同三已老从动两长知民样现分将外但身些与高意进把法此实回二理美点月明其种声全工己话儿者向情部正名定女问力机给等几很业最间新什打便位因重被走电四第门相次东政海口使教西再平真听世气信北少关并内加化由却代军产入先山五太水万市眼体别处总才场师书比住员九笑性通目华报立马命张活难神数件安表原车白应路期叫死常提感金何更反合放做系计或司利受光王果亲界及今京务制解各任至清物台象记边共风战干接它许八特觉望直服毛林题建南度统色字请交爱让认算论百吃义科怎元社术结六功指思非流每青管夫连远资队跟带花快条院变联言权往展该领传近留红治决周保达办运武半候七必城父强步完革深区即求品士转量空甚众技轻程告江语英基派满式李息写呢识极令黄德收脸钱党倒未持取设始版双历越史商千片容研像找友孩站广改议形委早房音火际则首单据导影失拿网香似斯专石若兵弟谁校读志飞观争究包组造落视济喜离虽坏兴切古"),
-        "base64": pick(base64), "letters": pick("abcdefghijklmnopqrstuvwxyz"), "repeats": "ab" * (n // 2), "digits": pick("0123456789"), "code": pick("if(x){return;}[]=+-*/<>!&|"),
-        "lines": "\n".join(pick(base64)[i : i + 76] for i in range(0, n, 76)), "special": "ab<|endoftext|>" * (n // 15), "spaces": pick("  a"), "words": pick("the of and to in 's don't "),
+        "base64": one, "letters": pick("abcdefghijklmnopqrstuvwxyz"), "repeats": "ab" * (n // 2), "digits": pick("0123456789"), "code": pick("if(x){return;}[]=+-*/<>!&|"),
+        "lines": "\n".join(one[i : i + 76] for i in range(0, n, 76)), "special": "ab<|endoftext|>" * (n // 15), "spaces": pick("  a"), "words": pick("the of and to in 's don't "),
     }
 
 
@@ -160,6 +161,107 @@ def test_secrets(spark, texts):
     assert got[None].spans == "" and secret_scan.secret_spans(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+PLANTED = ["kJ8xQz2Lw9RtVb4NmY7pXc3D", "q7Zp-LmX2vT9kRwB4sYc8NfJ6hGdE3aUoW5i", "xkqzjvwpbmfgtdhyrlcn", "QWZXKJVBPMGFTYDHRLNC", "9f8e7d6c5b4a3z2y1x0w9v8u"]
+HARMLESS = [
+    "sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", "urn:sha1:3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ", "https://x.example.com/blog/2023/01/15/how-to-bake-sourdough-bread-at-home", "internationalization_of_the_configuration",
+    "getElementsByClassNameAndAttribute", "MAXIMUM_RETRY_COUNT_EXCEEDED_EXCEPTION", "12345678-1234-1234-1234-123456789abc", "isbn-978-3-16-148410-0", "2023-01-15T00:00:00Z",
+]
+
+
+def test_random_strings_of_every_kind_are_found_and_digests_are_not():
+    rng = np.random.default_rng(3)
+    for x in PLANTED:
+        text = f"see /services/webhooks/incoming/{x} now"
+        at = text.index(x)
+        assert any(at <= a < b <= at + len(x) for a, _, b in secret_scan.random_spans(text, [])), x
+    for x in HARMLESS:
+        assert not secret_scan.random_spans(f"a {x} b", []), x
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for alphabet, n, least in ((letters, 20, 0.97), (letters, 32, 0.97), (letters.lower(), 24, 0.95), (letters[26:52], 24, 0.85), (letters + "+/", 40, 0.95), (letters + "-_", 40, 0.85)):
+        found = sum(bool(secret_scan.random_spans("".join(rng.choice(list(alphabet), n)), [])) for _ in range(300))
+        assert found >= least * 300, (alphabet, n, found)
+
+
+def test_ordinary_texts_have_few_random_strings(texts):
+    assert sum(len(secret_scan.random_spans(x, secret_scan.base_spans(x))) for x in texts) <= 1
+
+
+def test_kernel_and_presence_are_those_of_plain_code():
+    rng = np.random.default_rng(0)
+    texts = ["the cat", "der Hund", "le chat", "gato negro", "ab", "a", "x" * 3_000_000 + "yz"]
+    bits = np.stack([language_id.presence(x) for x in texts])
+
+    def grams(x):
+        raw = x.lower().encode()
+        codes = set()
+        for n in language_id.SPECTRUM:
+            for i in {raw[j : j + n] for j in range(len(raw) - n + 1)}:
+                code = 0
+                for b in i:
+                    code = (code * 257 + b + 1) % (1 << 32)
+                codes.add((code * 0x9E3779B1 % (1 << 32)) >> 18)
+        return codes
+
+    for x, b in zip(texts, bits):
+        assert set(np.flatnonzero(b).tolist()) == grams(x)
+    packed = np.packbits(bits, axis=1)
+    k = language_id.kernel_rows(packed)
+    for i, a in enumerate(texts[:-1]):
+        for j, b in enumerate(texts[:-1]):
+            assert abs(float(k[i] @ k[j]) - len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b)))) < 1e-5
+    # with as many landmarks as texts Nystroem is exact: the fit is kernel ridge regression in the span of the texts
+    words = {"aa": "the of and cat dog", "bb": "der die und hund katze", "cc": "le la et chat chien"}
+    langs = sorted(words) * 12
+    docs = [" ".join(rng.choice(words[v].split(), 6)) for v in langs]
+    packed = np.packbits(np.stack([language_id.presence(x) for x in docs]), axis=1)
+    names, matrix = language_id.fit(packed, langs)
+    x = language_id.kernel_rows(packed).astype(float)
+    gram = x @ x.T
+    y = (np.array(langs)[:, None] == np.array(names)).astype(float)
+    centre = np.eye(len(x)) - 1 / len(x)
+    centred = centre @ gram @ centre
+    expected = centred @ np.linalg.solve(centred + language_id.RIDGE * len(x) * np.eye(len(x)), y - y.mean(0)) + y.mean(0)
+    assert np.abs(x @ matrix[:-1] + matrix[-1] - expected).max() < 1e-3
+
+
+def test_no_language_is_left_out(spark):
+    assert language_id.quota(4) == (400, 64) and language_id.quota(10**6) == (1, 1)
+    words = ["".join(chr(97 + (i * 7 + j * j * 3) % 26) for j in range(6)) for i in range(300)]
+    rows = [(i * 10 + j, f"{w} {w[::-1]} {w}", f"l{i:03d}", None, None, None) for i, w in enumerate(words) for j in range(6)]
+    got = language_id.languages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 1800 and len({r.lang_pred for r in got}) >= 250
+
+
+def test_languages_of_many_repeats_and_long_texts(spark):
+    rows = [(1, "der hund und die katze", "de", None, None, None)] * 5000 + [(2, "the cat sat on the mat", "en", None, None, None)] * 3 + [(9, "und die katze " * 100_000, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert language_id.sample_of(docs).count() == 2
+    got = language_id.languages(docs).where("doc_id = 9").first()
+    assert got.lang_pred == "de" and language_id.languages(docs).count() == len(rows)
+
+
+def test_a_document_longer_than_a_block_is_packed_whole(spark, library, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 3000)
+    packer, rows = packing.Packer(0), []
+    texts = ["a short one.", "and so on. " * 4000, "", "last words"]
+    for i, x in enumerate(texts):
+        packer.add(i, bpe.ids(x))
+        if packer.held >= packing.BLOCK:
+            rows += zip(*packer.pieces(False))
+    rows += zip(*packer.pieces(True))
+    ids = {i: [*library.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+    for i, whole in ids.items():
+        mine = sorted((r for r in rows if r[0] == i), key=lambda r: r[1])
+        assert [r[1] for r in mine] == [0, *np.cumsum([r[2] for r in mine])[:-1]] and sum(r[2] for r in mine) == len(whole)
+        assert all(r[3] == zlib.crc32(np.array(whole[r[1] : r[1] + r[2]], "<u4").tobytes()) for r in mine)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r[5], []).append(r)
+    for pieces in sequences.values():
+        pieces.sort(key=lambda r: r[6])
+        assert [r[6] for r in pieces] == [0, *np.cumsum([r[2] for r in pieces])[:-1]] and sum(r[2] for r in pieces) <= 1024
+
+
 def test_languages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = language_id.languages(docs).toPandas().merge(docs.toPandas()[["doc_id", "lang", "text"]], on="doc_id")
