@@ -225,7 +225,7 @@ def link_roots(fps: DataFrame, k: int) -> DataFrame:
     asked = held.join(tops, by).withColumn("inside", F.explode(F.when(F.col("root") == F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
     found = asking.join(asked.select(F.col("fp").alias("b"), F.col("root").alias("rootb"), *by, "inside"), [*by, "inside"]).where((F.col("roota") != F.col("rootb")) & close("a", "b"))
     more = found.select(F.least("roota", "rootb").alias("a"), F.greatest("roota", "rootb").alias("b")).distinct()
-    far = components(more).withColumnsRenamed({"node": "root", "root": "_far"})
+    far = components(more).select(F.col("node").alias("root"), F.col("root").alias("_far"))
     return lookup(nodes, far, ["root"], F.col("fp")).select("fp", F.coalesce("_far", "root").alias("root"))
 
 

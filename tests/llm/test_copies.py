@@ -242,12 +242,13 @@ def test_other_numbers_and_names_leak(spark):
     other = ITEM.replace("12", "950").replace("3", "41").replace("Anna", "Carla").replace("Bob", "Tim")
     mixed = ITEM.replace("Bob", "Anna")  # two people of the item became one
     docs = [(1, f"{prose(rng, 50)} {ITEM} {prose(rng, 50)}"), (2, f"Then. {other}"), (3, mixed), (4, prose(rng, 300)), (5, None), (6, ""), (7, ITEM.lower()), (None, ITEM), (8, f"{prose(rng, 40_000)}. {ITEM}"), (8, f"{prose(rng, 9)}. {ITEM}")]
+    docs.append((9, other.replace("41", "950").replace("Tim", "Carla")))  # two numbers and two people of the item became one
     items = spark.createDataFrame([(1, ITEM, 0), (2, "too short", 0), (3, None, 0), (4, "7 8 9 10 11 12 13 14 15 16", 0)], "item_id long, text string, _row int")
     found = decontamination.leaks(frame(spark, docs), items).collect()
-    assert sorted((r.doc_id or -1, r.item_id) for r in found) == [(-1, 1), (1, 1), (2, 1), (7, 1), (8, 1), (8, 1)]
+    assert sorted((r.doc_id or -1, r.item_id) for r in found) == [(-1, 1), (1, 1), (2, 1), (3, 1), (7, 1), (8, 1), (8, 1)]  # 3 has ten of seventeen windows word by word
     assert {r.doc_id: r.exact for r in found}[2] is False and {r.doc_id: r.exact for r in found}[1] is True
     left = decontamination.drop_leaks(frame(spark, docs), items)
-    assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6] and left.columns == frame(spark, docs).columns
+    assert sorted(r.doc_id for r in left.collect()) == [4, 5, 6, 9] and left.columns == frame(spark, docs).columns
     assert decontamination.leaks(frame(spark, docs), items.limit(0)).count() == 0
     assert decontamination.leaks(frame(spark, []), items).count() == 0
 
