@@ -89,7 +89,7 @@ def fit(bits: np.ndarray, langs: list[str]) -> tuple[list[str], np.ndarray]:
 def sample_of(docs: DataFrame) -> DataFrame:
     """lang, _order and text of the rows to learn from: of each language those of the least hashes of doc_id and text, quota() of them at most, repeats once."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").alias("_lang"), F.xxhash64("doc_id", "text").alias("_order"), "text")
-    counts = cut(known.groupBy("_lang").agg(F.count("*").alias("_n")))
+    counts = cut(known.groupBy("_lang").agg(F.approx_count_distinct("_order").alias("_n")))  # of different texts: a language of many repeats has few
     texts = quota(counts.count())[0]
     chance = F.pmod("_order", F.lit(1 << 30)) / (1 << 30)
     some = known.join(narrow(counts), "_lang").where(chance < 2 * texts / F.col("_n")).dropDuplicates(["_lang", "_order"])  # about twice what is wanted
