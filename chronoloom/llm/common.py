@@ -9,6 +9,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Into so many runs a hot key is spread before anything is grouped or joined on it.
 RUNS = 64
@@ -77,9 +78,34 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def _hashable(value: Column, kind: T.DataType) -> Column:
+    """value in a form that the hash functions take: maps as their sorted entries, variants as JSON, at any depth."""
+    if isinstance(kind, T.VariantType):
+        return F.to_json(value)
+    if isinstance(kind, T.MapType):
+        entry = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+        entries = F.transform(F.map_entries(value), lambda x: _hashable(x, entry))
+        return F.array_sort(entries)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _hashable(x, kind.elementType)) if _odd(kind) else value
+    if isinstance(kind, T.StructType) and _odd(kind):
+        fields = [_hashable(value.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
+def _odd(kind: T.DataType) -> bool:
+    """Whether a type holds a map or a variant."""
+    if isinstance(kind, T.ArrayType):
+        return _odd(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_odd(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType | T.VariantType)
+
+
 def row_key(df: DataFrame) -> tuple[Column, Column]:
-    """Two 64-bit hashes over all columns of a row. They are the same however the table is split and in whatever order it is read; rows with equal keys are repeats of one another."""
-    columns = [F.array_sort(F.map_entries(f"`{f.name}`")) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in df.schema.fields]
+    """Two 64-bit hashes over all columns of a row, of any type. They are the same however the table is split and in whatever order it is read; rows with equal keys are repeats of one another."""
+    columns = [_hashable(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
     nulls = F.array(*(c.isNull() for c in columns))
     return F.xxhash64(F.lit("a"), nulls, *columns), F.xxhash64(F.lit("b"), nulls, *columns)
 

@@ -19,15 +19,17 @@ from .common import ascii_lower, cut, drop_rows, row_key
 #: Rows for which there is a run, and the least and largest number of runs.
 ROWS_A_RUN, RUNS, MOST_RUNS = 1 << 20, 64, 4096
 KEY = ["_sha", "_check", "_bytes"]
+#: The two parts of a row's key, where it is asked for.
+KEYS = ["_k1", "_k2"]
 
 
-def text_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, the digest columns, the row's key and a number of its own, for each row; a null text counts as empty. The number is good only where the result is held."""
+def text_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keys: bool = False) -> DataFrame:
+    """doc_id, the digest columns and a number of its own, with keys also the row's key, for each row; a null text counts as empty. The number is good only where the result is held."""
     normal = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    one, two = row_key(docs)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), one.alias("_k1"), two.alias("_k2"), F.monotonically_increasing_id().alias("_row"), normal.alias("_text"))
+    key = [k.alias(name) for k, name in zip(row_key(docs), KEYS, strict=True)] if keys else []
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *key, F.monotonically_increasing_id().alias("_row"), normal.alias("_text"))
     return rows.select(
-        "doc_id", "_k1", "_k2", "_row", F.unhex(F.sha2(F.col("_text").cast("binary"), 256)).alias("_sha"), F.xxhash64("_text").alias("_check"),
+        "doc_id", *KEYS[: len(key)], "_row", F.unhex(F.sha2(F.col("_text").cast("binary"), 256)).alias("_sha"), F.xxhash64("_text").alias("_check"),
         F.octet_length("_text").alias("_bytes"),
     )
 
@@ -53,21 +55,21 @@ def merge_runs(digests: DataFrame, runs: int, largest: bool = True) -> tuple[Dat
     return first, level.drop("_run")
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", largest: bool = True) -> DataFrame:
-    """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, and _k1 and _k2, the row's key.
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", largest: bool = True, keys: bool = False) -> DataFrame:
+    """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, and with keys _k1 and _k2, the row's key over all columns.
 
     The row with the largest (or smallest) doc_id of a group stays. Null texts equal empty ones. A null doc_id is
     smaller than any other. Where a whole row repeats, or rows tie on doc_id, one of them is kept. Texts of any length count whole. An empty table gives no rows;
     other columns don't matter.
     """
-    digests = cut(text_digests(docs, doc_id, text))
+    digests = cut(text_digests(docs, doc_id, text, keys))
     runs = runs_for(digests.count())
     digests = digests.withColumn("_run", F.pmod(F.xxhash64("_row"), F.lit(runs)).cast("int"))
     first, last = merge_runs(digests, runs, largest)
     down = first.select(*KEY, "_run").join(last, KEY)
     return digests.join(down, [*KEY, "_run"]).select(
         "doc_id", F.col("_stays.doc_id").alias("keep_id"), F.col("_size").alias("group_size"),
-        (F.col("_row") == F.col("_stays._row")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"), "_k1", "_k2",
+        (F.col("_row") == F.col("_stays._row")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"), *(KEYS if keys else []),
     )
 
 
@@ -77,5 +79,5 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     Nulls, ties and long texts are as there; of rows that repeat one stays, whatever the files are split into when they are read again. An empty table stays empty; columns of any
     other name may be there.
     """
-    told = cut(exact_dedup(docs).groupBy("_k1", "_k2").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    told = cut(exact_dedup(docs, keys=True).groupBy("_k1", "_k2").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
     return drop_rows(docs, told.where("not kept").select("_k1", "_k2"), told.where("kept and n > 1").select("_k1", "_k2"))

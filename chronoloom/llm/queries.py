@@ -29,7 +29,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("_k1", "_k2")
+    return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
