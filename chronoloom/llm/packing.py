@@ -1,10 +1,10 @@
 """Order-preserving packing of token sequences by dynamic programming.
 
 The documents of a partition follow one another as one stream of ids, each closed by the end id. Windows of at most 1024
-ids are cut from it so that padding plus penalties is least: no penalty for a cut between documents, some for a cut after a
-sentence, more for a cut elsewhere, which is offered only inside sentences longer than GAP. With
+ids are cut from it so that padding plus penalties is least: no penalty for a cut between documents, a small one for a cut after a
+sentence, more for a cut elsewhere, which is offered every few ids of a sentence, and anywhere near the end. With
 cost(i) = penalty(i) + min over j of cost(j) + 1024 - (i - j), only cost(j) + j matters, and a
-monotone queue holds its minimum over the last 1024 ids. The stream is worked off in blocks; the open window of a block begins the next.
+monotone queue holds its minimum over the last 1024 ids. A window whose length is a power of two isn't padded: its ten transitions are looked at beside the queue. The stream is worked off in blocks; the open window of a block begins the next.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from . import bpe
 
 WINDOW, END_ID = 1024, 0
 #: Penalties, in ids of padding, of a cut after a sentence and of any other.
-SENTENCE, ELSEWHERE = 4, 24
-#: In sentences longer than this a cut is offered every STEP ids.
-GAP, STEP = 128, 32
+SENTENCE, ELSEWHERE = 1, 3
+#: Inside a sentence a cut is offered every STEP ids, and within a window of the stream's end at each id.
+STEP = 8
 #: A block of the stream has about so many ids.
 BLOCK = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -34,30 +34,43 @@ def sentence_ends() -> np.ndarray:
     return np.array([x.strip()[-1:] in (b".", b"!", b"?") or b"\n" in x for x in bpe.id_bytes()])
 
 
-def cut_places(stream: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions at which the stream may be cut, and the penalty of each."""
+def cut_places(stream: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, last: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Positions at which the stream may be cut, and the penalty of each. last: the stream ends there, and isn't gone on with."""
     n = len(stream)
     penalty = np.full(n + 1, -1, np.int32)
     penalty[np.flatnonzero(ends[stream]) + 1] = SENTENCE
     penalty[doc_ends] = 0
     penalty[0] = penalty[n] = 0
-    at = np.flatnonzero(penalty >= 0)
-    for i in np.flatnonzero(np.diff(at) > GAP):
-        penalty[at[i] + STEP : at[i + 1] : STEP] = ELSEWHERE
+    place = np.arange(n + 1)
+    begin = np.maximum.accumulate(np.where(penalty >= 0, place, 0))
+    offered = (place - begin) % STEP == 0
+    if last:
+        offered |= place > n - WINDOW
+    penalty[(penalty < 0) & offered] = ELSEWHERE
     at = np.flatnonzero(penalty >= 0)
     return at, penalty[at]
 
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list[int]:
-    """The cuts of least cost among the places at, its first and last included; neighbours are at most a window apart."""
+    """The cuts of least cost among the places at, its first and last included; neighbours are at most a window apart. A window is padded unless its length is a power of two."""
     places = at.tolist()
-    key, back = [0] * len(places), [0] * len(places)  # key: cost + place
+    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
+    number = [-1] * (places[-1] + 1 + powers[-1])  # of a place, by its position; those before the first are looked up at the end
+    for i, place in enumerate(places):
+        number[place] = i
+    cost, key, back = [0] * len(places), [0] * len(places), [0] * len(places)  # key: cost + place
     queue = deque([0])  # its keys rise; the first is the least within the window
     for i, (place, more) in enumerate(zip(places[1:], penalty[1:].tolist(), strict=True), 1):
         while places[queue[0]] < place - window:
             queue.popleft()
-        j = back[i] = queue[0]
-        key[i] = k = key[j] + window + more
+        j = queue[0]
+        least = key[j] + window - place
+        for x in powers:
+            k = number[place - x]
+            if k >= 0 and cost[k] < least:
+                j, least = k, cost[k]
+        back[i], cost[i] = j, least + more
+        key[i] = k = least + more + place
         while queue and key[queue[-1]] >= k:
             queue.pop()
         queue.append(i)
@@ -87,7 +100,7 @@ class Packer:
             return [[] for _ in range(7)]
         stream = np.concatenate([x[3] for x in self.docs])
         ends = np.cumsum([len(x[3]) for x in self.docs])
-        cuts = best_cuts(*cut_places(stream, ends, self.ends))
+        cuts = best_cuts(*cut_places(stream, ends, self.ends, last))
         if not last:
             cuts.pop()
         done = cuts[-1]
