@@ -171,11 +171,11 @@ def normalised(series: DataFrame, by: list[str], low: float, high: float, least:
     return series.join(ends, by).withColumn("level", F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))).drop("_low", "_high")
 
 
-def gated_mean(series: DataFrame, by: list[str], floor: float, under: float) -> DataFrame:
-    """by and gated: the mean of the samples over floor that aren't more than under below the mean of all over floor."""
+def gated(series: DataFrame, by: list[str], floor: float, under: float) -> DataFrame:
+    """The samples over floor that aren't more than under below the mean of all over floor."""
     over = series.where(F.col("value") > floor)
     first = over.groupBy(*by).agg(F.avg("value").alias("_mean"))
-    return over.join(first, by).where(F.col("value") > F.col("_mean") - under).groupBy(*by).agg(F.avg("value").alias("gated"))
+    return over.join(first, by).where(F.col("value") > F.col("_mean") - under).drop("_mean")
 
 
 def first_of(rows: DataFrame, by: list[str], order: list, n: int = 1) -> DataFrame:

@@ -115,13 +115,16 @@ def w16_held_maximum(spark, sf_dir):
 
 @query(
     src.SQL
-    + """, one AS (SELECT plan_id, idx, avg(value) OVER (PARTITION BY plan_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM series)
-    SELECT plan_id, idx, round(avg(v) OVER (PARTITION BY plan_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) + 1e-7, 4) AS smooth FROM one"""
+    + """, one AS (SELECT plan_id, idx, 60 * sum(CAST(round(value * 100) AS BIGINT)) OVER w // count(*) OVER w AS v FROM series WINDOW w AS (PARTITION BY plan_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+    two AS (SELECT plan_id, idx, sum(v) OVER w AS s, count(*) OVER w AS n FROM one WINDOW w AS (PARTITION BY plan_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+    SELECT plan_id, idx, ((20000 * s + 6000 * n) // (12000 * n))::BIGINT / 10000 AS smooth FROM two"""
 )
 def w18_zero_phase_mean(spark, sf_dir):
-    once = sq.sliding(src.series(spark, sf_dir), BY, F.avg("value"), 2, 2, "v")
-    twice = sq.sliding(once, BY, F.avg("v"), 2, 2, "smooth")  # sums are taken in another order: what ends in a 5 rounds up on both sides
-    return rounded(twice.select("plan_id", "idx", (F.col("smooth") + 1e-7).alias("smooth")), "smooth", digits=4)
+    """Twice the mean of five: hundredths are added up as whole numbers (60 is divided by three, four and five), so that the order of a sum says nothing and halves are rounded up."""
+    samples = src.series(spark, sf_dir).select("plan_id", "idx", F.round(F.col("value") * 100).cast("long").alias("c"))
+    once = sq.sliding(sq.sliding(samples, BY, F.sum("c"), 2, 2, "s"), BY, F.count("*"), 2, 2, "n").select("plan_id", "idx", F.expr("60 * s div n").alias("v"))
+    twice = sq.sliding(sq.sliding(once, BY, F.sum("v"), 2, 2, "s"), BY, F.count("*"), 2, 2, "n")
+    return twice.select("plan_id", "idx", (F.expr("(20000 * s + 6000 * n) div (12000 * n)") / 10000).alias("smooth"))
 
 
 @query(
@@ -220,12 +223,14 @@ def a22_normalised(spark, sf_dir):
 
 @query(
     src.SQL
-    + """, m AS (SELECT plan_id, avg(value) AS m FROM series WHERE value > 5 GROUP BY 1)
-    SELECT plan_id, round(avg(value) + 1e-7, 4) AS gated FROM series JOIN m USING (plan_id) WHERE value > 5 AND value > m - 40 GROUP BY 1"""
+    + """, c AS (SELECT plan_id, CAST(round(value * 100) AS BIGINT) AS value FROM series), m AS (SELECT plan_id, avg(value) AS m FROM c WHERE value > 500 GROUP BY 1)
+    SELECT plan_id, ((20000 * sum(value) + 100 * count(*)) // (200 * count(*)))::BIGINT / 10000 AS gated FROM c JOIN m USING (plan_id) WHERE value > 500 AND value > m - 4000 GROUP BY 1"""
 )
 def a7_gated_mean(spark, sf_dir):
-    rows = sq.gated_mean(src.series(spark, sf_dir), BY, 5.0, 40.0)
-    return rounded(rows.withColumn("gated", F.col("gated") + 1e-7), "gated", digits=4)  # as in w18
+    """Over hundredths, as whole numbers; a half is rounded up."""
+    samples = src.series(spark, sf_dir).select("plan_id", "idx", F.round(F.col("value") * 100).cast("long").alias("value"))
+    kept = sq.gated(samples, BY, 500.0, 4000.0).groupBy("plan_id").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    return kept.select("plan_id", (F.expr("(20000 * s + 100 * n) div (200 * n)") / 10000).alias("gated"))
 
 
 @query(
