@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Hosts of platforms as they are in the world; a sub-domain belongs to its host.
@@ -11,18 +11,37 @@ PLATFORMS = {
     "telegram": ("t.me", "telegram.me"), "whatsapp": ("wa.me", "whatsapp.com"), "x": ("x.com", "twitter.com"), "threads": ("threads.net", "threads.com"), "pinterest": ("pinterest.com", "pin.it"),
     "snapchat": ("snapchat.com",), "spotify": ("spotify.com",), "github": ("github.com",), "vimeo": ("vimeo.com",), "linktree": ("linktr.ee",), "calendly": ("calendly.com",),
 }
-#: Platforms whose links are of the form host/name, and first parts of a path there that are no names.
-NAMED = ("instagram", "tiktok", "youtube", "facebook", "x", "threads", "telegram", "pinterest", "snapchat", "github", "linktree")
-RESERVED = ("about", "accounts", "add", "c", "channel", "direct", "explore", "groups", "hashtag", "help", "home", "i", "intent", "joinchat", "login", "p", "pages", "pin", "playlist", "reel", "reels", "search", "settings", "share", "shorts", "stories", "tv", "user", "watch")
+#: Platforms whose links are of the form host/name, and for each the first parts of a path that are no names there.
+RESERVED = {
+    "instagram": ("about", "accounts", "add", "direct", "explore", "legal", "p", "reel", "reels", "share", "stories", "tv", "web"),
+    "tiktok": ("discover", "embed", "live", "music", "search", "t", "tag", "video"),
+    "youtube": ("c", "channel", "feed", "hashtag", "live", "playlist", "results", "shorts", "user", "watch"),
+    "facebook": ("events", "groups", "hashtag", "help", "login", "marketplace", "pages", "people", "photo", "photos", "profile.php", "reel", "reels", "share", "sharer", "watch"),
+    "x": ("explore", "hashtag", "home", "i", "intent", "login", "messages", "search", "settings", "share"),
+    "threads": ("login", "search", "t"), "telegram": ("c", "joinchat", "proxy", "s", "share"), "pinterest": ("business", "explore", "ideas", "pin", "search", "today"), "snapchat": ("add", "discover", "spotlight"),
+    "github": ("about", "explore", "features", "login", "search", "settings", "topics"), "linktree": ("login", "s"),
+}
+NAMED = tuple(RESERVED)
 #: A mail address: dot-atoms of letters, digits, _ + and -, and a host of labels.
 EMAIL = r"([0-9A-Za-z_][0-9A-Za-z_+-]*(?:\.[0-9A-Za-z_+-]+)*@(?:[0-9A-Za-z](?:[0-9A-Za-z-]*[0-9A-Za-z])?\.)+[A-Za-z]{2,24})"
 #: A URL: scheme or www, a host with an optional port, and a rest that doesn't end in a mark of the sentence around it.
 URL = r"((?:[Hh][Tt][Tt][Pp][Ss]?://|[Ww][Ww][Ww]\.)[0-9A-Za-z](?:[0-9A-Za-z.-]*[0-9A-Za-z])?(?::[0-9]{1,5})?(?:[/?#](?:[^\s<>\"']*[^\s<>\"'.,;:!?)\]])?)?)"
-HANDLE = r"(?:^|[\s(])(@[A-Za-z0-9_.]{2,30})"
+#: A host without scheme or www counts if it ends in one of these.
+ENDS = "com|net|org|info|biz|app|dev|shop|store|site|online|club|page|link|studio|io|co|me|ai|tv|to|ly|be|ee|gl|es|mx|ar|cl|pe|us|de|fr|it|uk|br|ca|eu|ch|at|nl|pt"
+BARE = rf"(?:^|[^\p{{L}}\p{{N}}@_./-])((?:[0-9A-Za-z](?:[0-9A-Za-z-]*[0-9A-Za-z])?\.)+(?:{ENDS})\b(?:/(?:[^\s<>\"']*[^\s<>\"'.,;:!?)\]])?)?)"
+#: A handle begins anywhere but inside a word, a mail address or a path.
+BEFORE = r"(?:^|[^\p{L}\p{N}_.@/])@[A-Za-z0-9_](?:[A-Za-z0-9_.]{0,28}[A-Za-z0-9_])?"
+HANDLE = r"(?:^|[^\p{L}\p{N}_.@/])(@[A-Za-z0-9_](?:[A-Za-z0-9_.]{0,28}[A-Za-z0-9_])?)"
 PHONE = r"(\+?[0-9][0-9 ().-]{6,}[0-9])"
+#: What a handle is made of behind its @, and what may not stand before that.
+NAME, INSIDE = r"^([A-Za-z0-9_](?:[A-Za-z0-9_.]{0,28}[A-Za-z0-9_])?)", r"[\p{L}\p{N}_./]"
 #: What stands before a handle, up to so many characters, and words there that name a platform.
-BEFORE = r"(?:^|[\s(])@[A-Za-z0-9_.]{2,30}"
-CONTEXT, NAMES = 48, "instagram|insta|tiktok|youtube|facebook|linkedin|telegram|twitter|threads|pinterest|snapchat"
+CONTEXT = 48
+SAID = {
+    "instagram": "instagram", "insta": "instagram", "ig": "instagram", "tiktok": "tiktok", "tik tok": "tiktok", "tt": "tiktok", "youtube": "youtube", "yt": "youtube", "canal": "youtube", "facebook": "facebook", "face": "facebook",
+    "fb": "facebook", "linkedin": "linkedin", "telegram": "telegram", "twitter": "x", "x": "x", "threads": "threads", "pinterest": "pinterest", "snapchat": "snapchat", "snap": "snapchat", "spotify": "spotify",
+}
+NAMES = "|".join(SAID)
 
 
 def host(url: Column) -> Column:
@@ -31,18 +50,16 @@ def host(url: Column) -> Column:
 
 def platform(url: Column) -> Column:
     """The platform whose host, or a sub-domain of it, the url has; else web."""
-    h = host(url)
-    out = F.lit("web")
-    for name, domains in PLATFORMS.items():
-        for domain in domains:
-            out = F.when((h == domain) | h.endswith(f".{domain}"), name).otherwise(out)
-    return out
+    of = F.create_map(*(F.lit(x) for name, domains in PLATFORMS.items() for domain in domains for x in (domain, name)))  # hosts of two labels
+    return F.coalesce(of[F.substring_index(host(url), ".", -2)], F.lit("web"))
 
 
 def handle(url: Column) -> Column:
     """@name for the first part of a platform link's path, in lower case, or null; parts such as watch or explore are no names."""
     name = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z]+://)?[^/?#]+/(?:(?:in|company|add|stories)/)?@?([A-Za-z0-9_.-]{2,30})(?:[/?#]|$)", 1))
-    return F.when(platform(url).isin(*NAMED) & (name != "") & ~name.isin(*RESERVED), F.concat(F.lit("@"), name))
+    reserved = F.create_map(*(x for at, words in RESERVED.items() for x in (F.lit(at), F.array(*(F.lit(w) for w in words)))))
+    of = reserved[platform(url)]  # null where links are no names
+    return F.when((name != "") & ~F.array_contains(of, name), F.concat(F.lit("@"), name))
 
 
 def structured(url: Column) -> Column:
@@ -54,8 +71,8 @@ def structured(url: Column) -> Column:
 
 def named_before(context: Column) -> Column:
     """The platform that the last of NAMES in a text names, or null."""
-    last = F.lower(F.regexp_extract(context, rf"(?i).*\b({NAMES})\b", 1))
-    return F.when(last == "", None).when(last == "insta", "instagram").when(last == "twitter", "x").otherwise(last)
+    last = F.lower(F.regexp_extract(context, rf"(?is).*\b({NAMES})\b", 1))
+    return F.create_map(*(F.lit(x) for pair in SAID.items() for x in pair))[last]
 
 
 def public(url: Column) -> Column:
@@ -92,12 +109,12 @@ def without(text: Column, pattern: str) -> Column:
 def all_links(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """key, kind, value, platform, handle, address, ambiguous and n (times) for each different link of a text.
 
-    Mail addresses take their spans before URLs, these before handles, these before phone numbers of 8 digits or more. A handle belongs to the platform that a word up to CONTEXT characters before
+    Mail addresses take their spans before URLs, these before hosts without scheme, these before handles, these before phone numbers of 8 digits or more. A handle belongs to the platform that a word up to CONTEXT characters before
     it names; one without such a word is ambiguous and counts for instagram, unless a sure link of the same text has the handle too: then it is that link's. A null text has none.
     """
-    clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "@{2,}", "@")
-    rest = without(clean, EMAIL)
-    last = without(rest, URL)
+    clean, rest, unschemed, last, pieces = (F.col(c) for c in ("_clean", "_rest", "_unschemed", "_last", "_pieces"))
+    cleaned = rows.select(*key, F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "@{2,}", "@").alias("_clean")).withColumn("_rest", without(clean, EMAIL))
+    cleaned = cleaned.withColumn("_unschemed", without(rest, URL)).withColumn("_last", without(unschemed, BARE)).withColumn("_pieces", F.split(last, "@"))
     every = lambda of, pattern: F.regexp_extract_all(of, F.lit(pattern), F.lit(1))
     link = lambda kind, value, platform, handle, address, ambiguous: F.struct(F.lit(kind).alias("kind"), value.alias("value"), platform.alias("platform"), handle.alias("handle"), address.alias("address"), ambiguous.alias("ambiguous"))
     none, sure = F.lit(None).cast("string"), F.lit(False)
@@ -106,18 +123,22 @@ def all_links(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
         u = structured(x)
         return link("url", x, u["platform"], u["handle"], u["address"], sure)
 
-    def of_handle(x: Column) -> Column:
-        name, said = F.lower(F.rtrim(F.regexp_extract(x, r"(@[A-Za-z0-9_.]{2,30})$", 1), F.lit("."))), named_before(x)
+    def of_handle(before: Column, after: Column) -> Column:
+        name, said = F.concat(F.lit("@"), F.lower(F.regexp_extract(after, NAME, 1))), named_before(F.right(before, F.lit(CONTEXT)))
         at = F.coalesce(said, F.lit("instagram"))
         return link("handle", name, at, name, F.concat(F.lit("https://"), at, F.lit("/"), F.substring(name, 2, 30)), said.isNull())
 
+    # a handle is what two pieces have at their ends: linear in the text, whatever it holds
+    pairs = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda x, i: F.struct(F.get(pieces, i).alias("before"), x.alias("after")))
+    handles = F.filter(pairs, lambda x: ~F.right(x["before"], F.lit(1)).rlike(INSIDE) & x["after"].rlike(NAME))
     found = F.concat(
         F.transform(every(clean, EMAIL), lambda x: link("email", F.lower(x), F.lit("email"), none, F.concat(F.lit("mailto:"), F.lower(x)), sure)),
         F.transform(every(rest, URL), of_url),
-        F.transform(every(last, rf"([^@]{{0,{CONTEXT}}}{BEFORE})"), of_handle),
+        F.transform(every(unschemed, BARE), of_url),
+        F.transform(handles, lambda x: of_handle(x["before"], x["after"])),
         F.transform(F.filter(every(without(last, BEFORE), PHONE), lambda x: F.length(digits(x)) >= 8), lambda x: link("phone", x, F.lit("phone"), none, F.concat(F.lit("tel:+"), digits(x)), sure)),
     )
-    links = rows.select(*key, F.explode(found).alias("_l")).select(*key, "_l.*")
-    known = links.where("handle is not null and not ambiguous").select(*key, "handle").distinct()
-    kept = links.where("not ambiguous").unionByName(links.where("ambiguous").join(known, [*key, "handle"], "left_anti").select(*links.columns))
+    links = cleaned.select(*key, F.explode(found).alias("_l")).select(*key, "_l.*")
+    sure_too = F.max(F.col("handle").isNotNull() & ~F.col("ambiguous")).over(Window.partitionBy(*key, "handle"))
+    kept = links.withColumn("_sure", sure_too).where("not ambiguous or not _sure").drop("_sure")
     return kept.groupBy(*key, "kind", "platform", "handle", "address", "ambiguous").agg(F.min("value").alias("value"), F.count("*").alias("n"))

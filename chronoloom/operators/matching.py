@@ -17,6 +17,8 @@ from .intervals import overlapping
 
 #: Least length of a word and of a name's token that may differ by spelling, and how alike they must be.
 WORD, TOKEN, ALIKE = 5, 6, 0.8
+#: Keys of tokens are broadcast where a count shows that there are no more.
+BROADCAST_ROWS = 1 << 18
 
 
 def ratio(a: str, b: str) -> float:
@@ -74,7 +76,9 @@ def fuzzy_pairs(words: DataFrame, tokens: DataFrame, alike: float = ALIKE) -> Da
         some = sized.where("shared > 0").select("word", "of_word", "of_token", F.explode(F.slice("rarest", F.lit(1), F.col("own") - F.col("shared"))).alias("pair"))
         return some.unionByName(sized.where("shared <= 0").select("word", "of_word", "of_token", F.lit("").alias("pair")))
 
-    met = keys(w, "of_word").join(keys(t, "of_token").withColumnRenamed("word", "token"), ["pair", "of_word", "of_token"]).select("word", "token").distinct()
+    theirs = held(keys(t, "of_token").withColumnRenamed("word", "token"))
+    theirs = F.broadcast(theirs) if theirs.count() <= BROADCAST_ROWS else theirs
+    met = keys(w, "of_word").join(theirs, ["pair", "of_word", "of_token"]).select("word", "token").distinct()
     met = met.repartition(met.sparkSession.sparkContext.defaultParallelism, "word", "token")  # few bytes, much work: not to be put together again
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

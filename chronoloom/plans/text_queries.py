@@ -175,21 +175,25 @@ def m18_finite(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", maths.finite(dirty, -1.0).alias("x"))
 
 
-def _links_sql() -> str:
+def _links_sql(documents: str = "documents") -> str:
     q = lambda x: x.replace("'", "''")
     host = "regexp_replace(lower(regexp_extract(x, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]+)', 1)), '^(?:www|m|mobile)\\.', '')"
     platform = "CASE " + " ".join(f"WHEN host = '{d}' OR host LIKE '%.{d}' THEN '{n}'" for n, ds in links.PLATFORMS.items() for d in ds) + " ELSE 'web' END"
     among = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
-    return f"""WITH c AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '@{{2,}}', '@', 'g') AS t FROM documents),
+    reserved = " OR ".join(f"platform = '{k}' AND name IN {among(v)}" for k, v in links.RESERVED.items())
+    said = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in links.SAID.items())
+    return f"""WITH c AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '@{{2,}}', '@', 'g') AS t FROM {documents}),
     r AS (SELECT doc_id, t, regexp_replace(t, '{q(links.EMAIL)}', ' ', 'g') AS r FROM c),
-    l AS (SELECT doc_id, t, r, regexp_replace(r, '{q(links.URL)}', ' ', 'g') AS l FROM r),
-    u0 AS (SELECT doc_id, unnest(regexp_extract_all(r, '{q(links.URL)}', 1)) AS x FROM r),
+    s AS (SELECT doc_id, t, r, regexp_replace(r, '{q(links.URL)}', ' ', 'g') AS s FROM r),
+    l AS (SELECT doc_id, t, r, s, regexp_replace(s, '{q(links.BARE)}', ' ', 'g') AS l FROM s),
+    u0 AS (SELECT doc_id, unnest(regexp_extract_all(r, '{q(links.URL)}', 1)) AS x FROM r UNION ALL SELECT doc_id, unnest(regexp_extract_all(s, '{q(links.BARE)}', 1)) FROM s),
     u1 AS (SELECT *, {host} AS host, lower(regexp_extract(x, '^(?:[A-Za-z]+://)?[^/?#]+/(?:(?:in|company|add|stories)/)?@?([A-Za-z0-9_.-]{{2,30}})(?:[/?#]|$)', 1)) AS name FROM u0),
     u2 AS (SELECT *, {platform} AS platform FROM u1),
-    u3 AS (SELECT *, CASE WHEN platform IN {among(links.NAMED)} AND name <> '' AND name NOT IN {among(links.RESERVED)} THEN '@' || name END AS handle FROM u2),
-    h0 AS (SELECT doc_id, unnest(regexp_extract_all(l, '{q(rf"([^@]{{0,{links.CONTEXT}}}{links.BEFORE})")}', 1)) AS x FROM l),
-    h1 AS (SELECT doc_id, rtrim(lower(regexp_extract(x, '(@[A-Za-z0-9_.]{{2,30}})$', 1)), '.') AS name, lower(regexp_extract(x, '(?is).*\\b({links.NAMES})\\b', 1)) AS said FROM h0),
-    h2 AS (SELECT doc_id, name, CASE said WHEN '' THEN NULL WHEN 'insta' THEN 'instagram' WHEN 'twitter' THEN 'x' ELSE said END AS said FROM h1),
+    u3 AS (SELECT *, CASE WHEN platform IN {among(links.NAMED)} AND name <> '' AND NOT ({reserved}) THEN '@' || name END AS handle FROM u2),
+    h0 AS (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM (SELECT doc_id, string_split(l, '@') AS p FROM l)),
+    h1 AS (SELECT doc_id, '@' || lower(regexp_extract(p[i + 1], '{links.NAME}', 1)) AS name, lower(regexp_extract(right(p[i], {links.CONTEXT}), '(?is).*\\b({links.NAMES})\\b', 1)) AS said FROM h0
+      WHERE NOT regexp_matches(right(p[i], 1), '{links.INSIDE}') AND regexp_matches(p[i + 1], '{links.NAME}')),
+    h2 AS (SELECT doc_id, name, CASE said {said} END AS said FROM h1),
     p0 AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(l, '{q(links.BEFORE)}', ' ', 'g'), '{q(links.PHONE)}', 1)) AS x FROM l),
     every AS (
       SELECT doc_id, 'email' AS kind, lower(x) AS value, 'email' AS platform, NULL AS handle, 'mailto:' || lower(x) AS address, false AS ambiguous FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{q(links.EMAIL)}', 1)) AS x FROM c)
@@ -203,3 +207,20 @@ def _links_sql() -> str:
 @query(_links_sql())
 def x20_all_links(spark, sf_dir):
     return links.all_links(documents(spark, sf_dir), ["doc_id"])
+
+
+#: Sentences around a handle, a host or a path, each with a document's number in it: several lines, names on other lines, marks before the handle, paths that are names on one platform only.
+AROUND = (
+    "instagram here\ntiktok: see @ana_{} and more", "tiktok:@ana_{}, ig @foo_{}.", "mail me: a{}@example.com or @b_{}", "yt/@no_{} but (canal) @yes_{}!", "see shop{}.example.com/a/b, or https://x.com/c and youtube.com/c",
+    "https://instagram.com/c{} https://instagram.com/p https://tiktok.com/live https://facebook.com/live", "snap\n\n@s_{}\nfb\n@f_{} @s_{}", "a.b@c_{} word@w_{} .@d_{} ,@e_{}", "linktr.ee/s linktr.ee/t{} www.t.me/name{}",
+    "the x @x_{} and then forty-eight characters or more of plain words go by before @y_{}",
+)
+_AROUND = " ".join(f"WHEN {i} THEN '" + x.replace("{}", "' || doc_id || '") + "'" for i, x in enumerate(AROUND))
+
+
+@query(_links_sql(f"(SELECT doc_id, CASE doc_id % {len(AROUND)} {_AROUND} END || chr(10) || coalesce(text, '') AS text FROM documents)"))
+def x21_links_in_context(spark, sf_dir):
+    """One of those sentences before each document's text."""
+    said = F.element_at(F.array(*(F.lit(x) for x in AROUND)), (F.col("doc_id") % len(AROUND)).cast("int") + 1)
+    text = F.concat(F.replace(said, F.lit("{}"), F.col("doc_id").cast("string")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return links.all_links(documents(spark, sf_dir).withColumn("text", text), ["doc_id"])

@@ -108,3 +108,21 @@ def test_transcripts_and_catalogs(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).count() == 1
     jobs = spark.createDataFrame([('{"a": 1}',), ("oops",), (None,)], "params string")
     assert [r.x for r in readers.tolerant_params(jobs).select(F.to_json("params").alias("x")).collect()] == ['{"a":1}', "{}", "{}"]
+
+
+def test_handles_in_context(spark):
+    from chronoloom.functions import links
+
+    texts = {
+        1: "instagram here\ntiktok: see @ana_b", 2: "tiktok:@ana_b", 3: "ig @foo, yt/@no but a@b.com", 4: "see shop.example.com/a/b.", 5: "https://instagram.com/live https://instagram.com/p/x https://tiktok.com/live", 6: "@who",
+        7: "word@yy @@twice", 8: None, 9: "t.me/c and t.me/joe", 10: "facebook.com/live @live", 11: "plain. text",
+    }
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string")
+    got = {}
+    for r in links.all_links(rows, ["id"]).collect():
+        got.setdefault(r.id, set()).add((r.kind, r.platform, r.handle, r.ambiguous))
+    assert got == {
+        1: {("handle", "tiktok", "@ana_b", False)}, 2: {("handle", "tiktok", "@ana_b", False)}, 3: {("handle", "instagram", "@foo", False), ("email", "email", None, False)}, 4: {("url", "web", None, False)},
+        5: {("url", "instagram", "@live", False), ("url", "instagram", None, False), ("url", "tiktok", None, False)}, 6: {("handle", "instagram", "@who", True)}, 7: {("handle", "instagram", "@twice", True)},
+        9: {("url", "telegram", None, False), ("url", "telegram", "@joe", False)}, 10: {("url", "facebook", "@live", False)},
+    }, got
