@@ -55,9 +55,13 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list
     """The cuts of least cost among the places at, its first and last included; neighbours are at most a window apart. A window is padded unless its length is a power of two."""
     places = at.tolist()
     powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
-    number = [-1] * (places[-1] + 1 + powers[-1])  # of a place, by its position; those before the first are looked up at the end
-    for i, place in enumerate(places):
-        number[place] = i
+    number = np.full(places[-1] + 1, -1)
+    number[at] = np.arange(len(at))
+    # the places a power of two before each place, of those that are offered; looked up for all at once
+    from_ = [(i, number[at[i] - x]) for x in powers for i in [np.flatnonzero(at >= x)]]
+    to, of = np.concatenate([i[k >= 0] for i, k in from_]), np.concatenate([k[k >= 0] for _, k in from_])
+    order = np.argsort(to, kind="stable")
+    bounds, of = np.searchsorted(to[order], np.arange(len(at) + 1)).tolist(), of[order].tolist()
     cost, key, back = [0] * len(places), [0] * len(places), [0] * len(places)  # key: cost + place
     queue = deque([0])  # its keys rise; the first is the least within the window
     for i, (place, more) in enumerate(zip(places[1:], penalty[1:].tolist(), strict=True), 1):
@@ -65,9 +69,8 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list
             queue.popleft()
         j = queue[0]
         least = key[j] + window - place
-        for x in powers:
-            k = number[place - x]
-            if k >= 0 and cost[k] < least:
+        for k in of[bounds[i] : bounds[i + 1]]:
+            if cost[k] < least:
                 j, least = k, cost[k]
         back[i], cost[i] = j, least + more
         key[i] = k = least + more + place
