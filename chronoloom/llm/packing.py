@@ -41,8 +41,8 @@ def cut_places(stream: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, last:
     penalty[np.flatnonzero(ends[stream]) + 1] = SENTENCE
     penalty[doc_ends] = 0
     penalty[0] = penalty[n] = 0
-    place = np.arange(n + 1)
-    begin = np.maximum.accumulate(np.where(penalty >= 0, place, 0))
+    place = np.arange(n + 1, dtype=np.int32)
+    begin = np.maximum.accumulate(np.where(penalty >= 0, place, np.int32(0)))
     offered = (place - begin) % STEP == 0
     if last:
         offered |= place > n - WINDOW
@@ -54,14 +54,13 @@ def cut_places(stream: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, last:
 def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list[int]:
     """The cuts of least cost among the places at, its first and last included; neighbours are at most a window apart. A window is padded unless its length is a power of two."""
     places = at.tolist()
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
-    number = np.full(places[-1] + 1, -1)
-    number[at] = np.arange(len(at))
+    powers = np.array([1 << k for k in range(window.bit_length()) if 1 << k <= window])
+    number = np.full(places[-1] + 1 + window, -1, np.int32)  # of the place at each position, which counts from -window
+    number[at + window] = np.arange(len(at), dtype=np.int32)
     # the places a power of two before each place, of those that are offered; looked up for all at once
-    from_ = [(i, number[at[i] - x]) for x in powers for i in [np.flatnonzero(at >= x)]]
-    to, of = np.concatenate([i[k >= 0] for i, k in from_]), np.concatenate([k[k >= 0] for _, k in from_])
-    order = np.argsort(to, kind="stable")
-    bounds, of = np.searchsorted(to[order], np.arange(len(at) + 1)).tolist(), of[order].tolist()
+    of = number[at[:, None] + (window - powers)]
+    bounds = np.concatenate(([0], np.cumsum((of >= 0).sum(axis=1)))).tolist()
+    of = of[of >= 0].tolist()
     cost, key, back = [0] * len(places), [0] * len(places), [0] * len(places)  # key: cost + place
     queue = deque([0])  # its keys rise; the first is the least within the window
     for i, (place, more) in enumerate(zip(places[1:], penalty[1:].tolist(), strict=True), 1):
