@@ -56,7 +56,7 @@ def shots_mapped(shots: DataFrame, plans: DataFrame, kept: DataFrame, by: list[s
     return rows.where("final_end - final_start > 1e-6").drop("_d")
 
 
-def music_mapped(music: DataFrame, kept: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+def music_mapped(music: DataFrame, kept: DataFrame, by: list[str], digits: int = 4) -> tuple[DataFrame, DataFrame]:
     """A plan's music (stops of at and dur, swells of start, end and db, drop_at, enabled, source) on the final clock, with active; and by, part, i and reason of bad rows.
 
     A silence that crosses a cut lasts for what is left of it; one without a dur keeps none. A swell that is cut altogether goes.
@@ -71,8 +71,8 @@ def music_mapped(music: DataFrame, kept: DataFrame, by: list[str]) -> tuple[Data
     mapped = all_remapped(rows, kept, by, ["part", "i"], {"fa": F.when(swells, F.least(a, b)).otherwise(a), "fb": F.when(swells, F.greatest(a, b)).otherwise(b)})
     wrong = (F.col("part") != "drop_at") & (a.isNull() | (swells & b.isNull()))
     skipped = mapped.where(wrong).select(*by, "part", "i", F.concat(F.lit("music:"), "part", F.lit(f":{BAD}")).alias("reason"))
-    at, until = F.round("fa", 4), F.round("fb", 4)
-    length = F.when(b.isNotNull(), F.round(F.greatest(F.lit(SILENCE), F.col("fb") - F.col("fa")), 4))
+    at, until = F.round("fa", digits), F.round("fb", digits)
+    length = F.when(b.isNotNull(), F.round(F.greatest(F.lit(SILENCE), F.col("fb") - F.col("fa")), digits))
     good = ~wrong & (~swells | (F.col("fb") - F.col("fa") > 1e-6))
     listed = lambda part, *fields: F.transform(F.sort_array(F.collect_list(F.when(good & (F.col("part") == part), F.struct("i", F.struct(*fields).alias("x"))))), lambda x: x["x"])
     config = mapped.groupBy(*by).agg(
@@ -82,7 +82,7 @@ def music_mapped(music: DataFrame, kept: DataFrame, by: list[str]) -> tuple[Data
     return config, skipped
 
 
-def sounds_mapped(sounds: DataFrame, plans: DataFrame, kept: DataFrame, by: list[str], key: str = "id") -> tuple[DataFrame, DataFrame]:
+def sounds_mapped(sounds: DataFrame, plans: DataFrame, kept: DataFrame, by: list[str], key: str = "id", digits: int = 4) -> tuple[DataFrame, DataFrame]:
     """Enabled sounds (name, at, gain_db, pan, variant, pitch, dur) on the final clock, and by, key and reason of those without a time.
 
     The dur of a riser lies before its time, that of others after it; what a cut leaves of it counts, or all of it where nothing is left. A sound at the end or behind goes.
@@ -95,9 +95,9 @@ def sounds_mapped(sounds: DataFrame, plans: DataFrame, kept: DataFrame, by: list
     left = F.abs(F.col("_b") - F.col("_a"))
     total = iv.kept_seconds(kept, plans, by).select(*by, "kept")
     return mapped.join(total, by).where("_a < kept").select(
-        *by, key, "name", F.round("_a", 4).alias("at"), F.coalesce(number(F.col("gain_db")), F.lit(GAIN)).alias("gain_db"), F.coalesce(number(F.col("pan")), F.lit(0.0)).alias("pan"),
+        *by, key, "name", F.round("_a", digits).alias("at"), F.coalesce(number(F.col("gain_db")), F.lit(GAIN)).alias("gain_db"), F.coalesce(number(F.col("pan")), F.lit(0.0)).alias("pan"),
         F.when(F.col("variant") >= 0, F.col("variant").cast("int")).alias("variant"), F.when(number(F.col("pitch")).isNotNull(), F.greatest(F.lit(-PITCH), F.least(F.lit(PITCH), number(F.col("pitch"))))).alias("pitch"),
-        F.when(F.col("_dur") > 0, F.round(F.when(left > 1e-3, left).otherwise(F.col("_dur")), 4)).alias("dur"),
+        F.when(F.col("_dur") > 0, F.round(F.when(left > 1e-3, left).otherwise(F.col("_dur")), digits)).alias("dur"),
     ), skipped
 
 

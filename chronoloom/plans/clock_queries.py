@@ -72,15 +72,15 @@ MUSIC = ROWS + """, m AS (SELECT *, row_number() OVER (PARTITION BY plan_id, tex
 
 @query(
     MUSIC
-    + """, got AS (SELECT p.*, round(fa, 4) AS fa, round(fb, 4) AS fb FROM points p JOIN wide w ON w.plan_id = p.plan_id AND w.id = p.part || p.i)
-    SELECT plan_id, count(*) FILTER (part = 'click') AS n_stops, round(coalesce(sum(fa) FILTER (part = 'click'), 0), 4) AS stops_at, round(coalesce(sum(CASE WHEN b IS NULL THEN more ELSE greatest(0.05, fb - fa) END) FILTER (part = 'click'), 0), 4) AS stops_dur,
-    count(*) FILTER (part = 'view' AND fb - fa > 1e-6) AS n_swells, round(coalesce(sum((fb - fa) * more) FILTER (part = 'view' AND fb - fa > 1e-6), 0), 4) AS swells_db, max(fa) FILTER (part = 'drop') AS drop_at,
+    + """, got AS (SELECT p.*, round(fa, 6) AS fa, round(fb, 6) AS fb FROM points p JOIN wide w ON w.plan_id = p.plan_id AND w.id = p.part || p.i)
+    SELECT plan_id, count(*) FILTER (part = 'click') AS n_stops, round(coalesce(sum(fa) FILTER (part = 'click'), 0), 6) AS stops_at, round(coalesce(sum(CASE WHEN b IS NULL THEN more ELSE greatest(0.05, fb - fa) END) FILTER (part = 'click'), 0), 6) AS stops_dur,
+    count(*) FILTER (part = 'view' AND fb - fa > 1e-6) AS n_swells, round(coalesce(sum((fb - fa) * more) FILTER (part = 'view' AND fb - fa > 1e-6), 0), 6) AS swells_db, max(fa) FILTER (part = 'drop') AS drop_at,
     any_value(CASE WHEN plan_id % 4 > 0 THEN plan_id % 2 = 0 ELSE true END AND plan_id % 10 > 0) AS active
     FROM (SELECT DISTINCT plan_id FROM m) LEFT JOIN got USING (plan_id) GROUP BY 1"""
 )
 def r5_music_mapped(spark, sf_dir):
-    config, _ = clocks.music_mapped(_music(spark, sf_dir), kept(spark, sf_dir), BY)
-    total = lambda name, f: F.round(F.aggregate(name, F.lit(0.0), lambda acc, x: acc + F.coalesce(f(x), F.lit(0.0))), 4)
+    config, _ = clocks.music_mapped(_music(spark, sf_dir), kept(spark, sf_dir), BY, 6)
+    total = lambda name, f: F.round(F.aggregate(name, F.lit(0.0), lambda acc, x: acc + F.coalesce(f(x), F.lit(0.0))), 6)
     return config.select(
         "plan_id", F.size("stops").cast("long").alias("n_stops"), total("stops", lambda x: x["at"]).alias("stops_at"), total("stops", lambda x: x["dur"]).alias("stops_dur"),
         F.size("swells").cast("long").alias("n_swells"), total("swells", lambda x: (x["end"] - x["start"]) * x["db"]).alias("swells_db"), "drop_at", "active",
@@ -107,13 +107,13 @@ def _sounds(spark, sf_dir):
     times AS (SELECT plan_id, event_id AS id, 1 AS which, start AS t FROM s UNION ALL SELECT plan_id, event_id, 2, CASE WHEN event_id % 3 = 1 THEN start + dur ELSE start - dur END FROM s WHERE dur > 0)"""
     + WIDE
     + """, total AS (SELECT plan_id, sum(b - a) AS kept FROM keeps GROUP BY 1)
-    SELECT s.plan_id, s.event_id AS id, ['riser_long_2', 'pop', 'riser_short'][event_id % 3 + 1] AS name, round(fa, 4) AS at, CASE WHEN event_id % 5 > 0 THEN value / 10 ELSE -6 END AS gain_db, 0.0::DOUBLE AS pan,
+    SELECT s.plan_id, s.event_id AS id, ['riser_long_2', 'pop', 'riser_short'][event_id % 3 + 1] AS name, round(fa, 6) AS at, CASE WHEN event_id % 5 > 0 THEN value / 10 ELSE -6 END AS gain_db, 0.0::DOUBLE AS pan,
     CASE WHEN event_id % 6 > 0 THEN (event_id % 6 - 1)::INT END AS variant, CASE WHEN event_id % 2 > 0 THEN greatest(-24, least(24, value - 20)) END AS pitch,
-    CASE WHEN dur > 0 THEN round(CASE WHEN abs(fb - fa) > 1e-3 THEN abs(fb - fa) ELSE dur END, 4) END AS dur
+    CASE WHEN dur > 0 THEN round(CASE WHEN abs(fb - fa) > 1e-3 THEN abs(fb - fa) ELSE dur END, 6) END AS dur
     FROM s JOIN wide w ON w.plan_id = s.plan_id AND w.id = s.event_id JOIN total t ON t.plan_id = s.plan_id WHERE fa < kept"""
 )
 def r6_sounds_mapped(spark, sf_dir):
-    return clocks.sounds_mapped(_sounds(spark, sf_dir), src.plans(spark, sf_dir), kept(spark, sf_dir), BY)[0]
+    return clocks.sounds_mapped(_sounds(spark, sf_dir), src.plans(spark, sf_dir), kept(spark, sf_dir), BY, digits=6)[0]
 
 
 @query(
