@@ -31,7 +31,7 @@ def rounded(df: DataFrame, *names: str, digits: int = 3) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import clock_queries, job_queries, matching_queries, relational_queries, section_queries, sequence_queries, source_queries, text_queries, timeline_queries, track_queries  # noqa: F401
+    from . import clock_queries, document_queries, job_queries, matching_queries, relational_queries, section_queries, sequence_queries, source_queries, text_queries, timeline_queries, track_queries  # noqa: F401
 
     return dict(_queries)
 
