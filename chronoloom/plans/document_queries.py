@@ -18,9 +18,9 @@ def catalog(spark):
 
 
 def documents(spark, sf_dir):
-    """plan_id and json. errors and signups are no known kinds; of every eleven items one has no end, of every three one runs backwards, of every four one has no id or the one before's."""
+    """plan_id and json. errors and signups are no known kinds; of every eleven items one has no end, of every three one runs backwards, of every four one has no id or the one before's. Times are whole milliseconds."""
     e = F.col("event_id")
-    rows = src.clocked(src.table(spark, sf_dir, "events"))
+    rows = src.clocked(src.table(spark, sf_dir, "events")).withColumn("start", F.floor(F.col("start") * 1000) / 1000)
     late = F.col("start") + F.col("value") * 10
     item = F.struct(
         F.col("text").alias("kind"), F.when(e % 3 == 0, late).otherwise(F.col("start")).alias("start"), F.when(e % 11 > 0, F.when(e % 3 == 0, F.col("start")).otherwise(late)).alias("end"),
@@ -34,7 +34,7 @@ def documents(spark, sf_dir):
 
 ITEMS = (
     src.SQL
-    + """, e AS (SELECT c.*, max(start) OVER (PARTITION BY plan_id) AS d, row_number() OVER (PARTITION BY plan_id ORDER BY event_id) - 1 AS i FROM clocked c),
+    + """, ms AS (SELECT * REPLACE (floor(start * 1000) / 1000 AS start) FROM clocked), e AS (SELECT c.*, max(start) OVER (PARTITION BY plan_id) AS d, row_number() OVER (PARTITION BY plan_id ORDER BY event_id) - 1 AS i FROM ms c),
     r AS (SELECT *, CASE WHEN text IN ('error', 'signup') THEN 'unknown_kind' WHEN event_id % 11 = 0 OR (d > 0 AND start >= d) THEN 'no_times' END AS reason FROM e)"""
 )
 
