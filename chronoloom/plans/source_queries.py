@@ -33,10 +33,12 @@ def s9_head_tags(spark, sf_dir):
     return readers.head_tags(src.table(spark, sf_dir, "pages"), ["page_id"]).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT source, lower(source) AS id, upper(source[1]) || source[2:] AS title FROM documents")
+@query("SELECT source, lower(source) AS id, CASE WHEN count(*) % 2 = 0 THEN 'From ' || count(*) || ' texts' ELSE upper(lower(source)[1]) || lower(source)[2:] END AS title FROM documents GROUP BY source")
 def s6_library(spark, sf_dir):
-    files = src.table(spark, sf_dir, "documents").select("source", F.lower("source").alias("id")).distinct()
-    return readers.library(files, spark.createDataFrame([], "id string, title string")).select("source", "id", "title")
+    """Sources are files; those of an even number of texts are known by a title."""
+    by_source = src.table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("id", F.lower("source"))
+    known = by_source.where("n % 2 = 0").select("id", F.concat(F.lit("From "), F.col("n").cast("string"), F.lit(" texts")).alias("title"))
+    return readers.library(by_source.select("source", "id"), known).select("source", "id", "title")
 
 
 @query(
@@ -56,15 +58,19 @@ def k11_appended(spark, sf_dir):
 
 
 @query(
-    """WITH names AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part), wanted AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT name || '_2' FROM names UNION SELECT 'nothing'),
-    hits AS (SELECT w.name, n.name AS found, CASE WHEN w.name = n.name THEN 0 WHEN regexp_replace(w.name, '[_-]?[0-9]+$', '') = n.name THEN 1 ELSE 3 END AS tier FROM wanted w JOIN names n ON starts_with(w.name, n.name)),
-    best AS (SELECT name, arg_min(found, (tier, -length(found), found)) AS found FROM hits GROUP BY 1) SELECT w.name, found FROM wanted w LEFT JOIN best USING (name)"""
+    """WITH names AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part), wanted AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT name || '_2' FROM names UNION SELECT upper(name) FROM names UNION SELECT name || 'x' FROM names UNION SELECT 'nothing'),
+    aliases AS (SELECT upper(name) AS alias, name FROM names UNION ALL SELECT name || 'x', 'alias of ' || name FROM names),
+    hits AS (SELECT w.name, n.name AS found, CASE WHEN w.name = n.name THEN 0 WHEN regexp_replace(w.name, '[_-]?[0-9]+$', '') = n.name THEN 1 ELSE 3 END AS tier, length(n.name) AS size FROM wanted w JOIN names n ON starts_with(w.name, n.name)
+      UNION ALL SELECT w.name, a.name, 2, 0 FROM wanted w JOIN aliases a ON a.alias = w.name),
+    best AS (SELECT name, arg_min(found, (tier, -size, found)) AS found FROM hits GROUP BY 1) SELECT w.name, found FROM wanted w LEFT JOIN best USING (name)"""
 )
 def j19_resolved_names(spark, sf_dir):
     part = src.table(spark, sf_dir, "part")
     names = part.select(F.split("p_name", " ")[0].alias("name")).distinct()
-    wanted = part.select(F.col("p_name").alias("name")).union(names.select(F.concat("name", F.lit("_2")))).union(spark.createDataFrame([("nothing",)], "name string")).distinct()
-    return rs.resolved(wanted, names, spark.createDataFrame([], "alias string, name string"))
+    wanted = part.select(F.col("p_name").alias("name")).union(names.select(F.concat("name", F.lit("_2")))).union(spark.createDataFrame([("nothing",)], "name string"))
+    wanted = wanted.union(names.select(F.upper("name"))).union(names.select(F.concat("name", F.lit("x")))).distinct()
+    aliases = names.select(F.upper("name").alias("alias"), "name").union(names.select(F.concat("name", F.lit("x")), F.concat(F.lit("alias of "), "name")))
+    return rs.resolved(wanted, names, aliases)
 
 
 @query("SELECT user_id, event_type AS key, min(event_id) AS pos, bool_or(value > 400) AS \"primary\", arg_min(props, event_id) FILTER (event_id % 3 = 0) AS photo FROM events GROUP BY 1, 2")
