@@ -28,9 +28,18 @@ def s1_transcript_words(spark, sf_dir):
     return readers.transcript_words(json, ["plan_id"])
 
 
-@query("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?is)^(.*?)(?:<body|$)', 1), '(?i)<(?:meta|link)\\b[^>]*>')) AS t FROM pages) WHERE regexp_matches(t, '(?i)\\b(?:property|name|itemprop|rel)\\s*=') GROUP BY 1")
+@query(
+    """WITH h AS (SELECT page_id, '<head><META content="Page ' || page_id || '" property=''og:title''><meta charset="utf-8"><link href=/i' || page_id || '.png rel="icon" sizes=32x32></head>' || coalesce(html, '') AS html FROM pages),
+    t AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?is)^(.*?)(?:<body|$)', 1), '(?i)<(?:meta|link)\\b[^>]*>')) AS t FROM h)
+    SELECT page_id, count(*) AS n, 'Page ' || page_id AS title, '/i' || page_id || '.png' AS icon FROM t WHERE regexp_matches(t, '(?i)\\b(?:property|name|itemprop|rel)\\s*=') GROUP BY page_id"""
+)
 def s9_head_tags(spark, sf_dir):
-    return readers.head_tags(src.table(spark, sf_dir, "pages"), ["page_id"]).groupBy("page_id").agg(F.count("*").alias("n"))
+    """The pages have no heads of their own: each gets one that names it, with a tag that counts for nothing."""
+    p = F.col("page_id").cast("string")
+    head = F.concat(F.lit('<head><META content="Page '), p, F.lit("\" property='og:title'><meta charset=\"utf-8\"><link href=/i"), p, F.lit('.png rel="icon" sizes=32x32></head>'), F.coalesce("html", F.lit("")))
+    tags = readers.head_tags(src.table(spark, sf_dir, "pages").withColumn("html", head), ["page_id"])
+    first = lambda key: F.min_by("value", F.when(F.col("key") == key, F.col("i")))
+    return tags.groupBy("page_id").agg(F.count("*").alias("n"), first("og:title").alias("title"), first("icon").alias("icon"))
 
 
 @query("SELECT source, lower(source) AS id, CASE WHEN count(*) % 2 = 0 THEN 'From ' || count(*) || ' texts' ELSE upper(lower(source)[1]) || lower(source)[2:] END AS title FROM documents GROUP BY source")
