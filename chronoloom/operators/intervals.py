@@ -25,6 +25,13 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
+def exact(x: Column) -> Column:
+    """x in millionths, as a decimal, or null if it has more than six digits behind the point or nine before it. Sums of decimals are the same in whatever order rows come."""
+    x = x.cast("double")
+    millionths = F.when(F.abs(x) < 1e9, F.rint(x * 1e6).cast("long"))
+    return F.when(millionths / 1e6 == x, millionths.cast("decimal(18,0)"))
+
+
 def cleaned(cuts: DataFrame, plans: DataFrame, by: list[str]) -> DataFrame:
     """The enabled cuts inside [0, duration], with bounds in order; empty ones and those with bounds that aren't finite go."""
     rows = cuts.where(F.coalesce("enabled", F.lit(True)) & finite(F.col("start").cast("double")) & finite(F.col("end").cast("double")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import asof, overlapping
+from .intervals import asof, exact, overlapping
 
 
 def active_at(items: DataFrame, t: float, tolerance: float = 0.0) -> DataFrame:
@@ -56,9 +56,20 @@ def median_if_enough(rows: DataFrame, by: list[str], value: str, share: float) -
 
 
 def weighted_quality(rows: DataFrame, by: list[str], value: str, weight: str, least: float) -> DataFrame:
-    """by, quality (the weighted mean), worst and whether the quality is under least."""
-    mean = F.sum(F.col(value) * F.col(weight)) / F.sum(weight)
-    return rows.groupBy(*by).agg(mean.alias("quality"), F.min(value).alias("worst")).withColumn("warn", F.col("quality") < least)
+    """by, quality (the weighted mean), worst and whether the quality is under least.
+
+    Sums are exact where all numbers of a group have at most six digits behind the point, and the mean has then no digits that only the order of adding gave it: half a digit is
+    rounded up, and what equals least isn't under it, however the rows are dealt out.
+    """
+    v, w = exact(F.col(value)), exact(F.col(weight))
+    product = F.when(F.col(value).isNotNull() & F.col(weight).isNotNull(), v.isNotNull() & w.isNotNull())  # null: counts in neither sum
+    whole = F.coalesce(F.bool_and(product), F.lit(False)) & F.coalesce(F.bool_and(F.when(F.col(weight).isNotNull(), w.isNotNull())), F.lit(False))
+    sums = rows.groupBy(*by).agg(
+        F.min(value).alias("worst"), F.sum(F.col(value) * F.col(weight)).alias("_a"), F.sum(weight).alias("_b"), F.when(whole, F.try_sum(v * w)).alias("_x"), F.when(whole, F.try_sum(w)).alias("_y"),
+    )
+    known = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    quality = F.when(known, F.round(F.try_divide(F.col("_x").cast("double"), F.col("_y").cast("double") * 1e6), 13)).otherwise(F.try_divide(F.col("_a"), F.col("_b")))
+    return sums.withColumn("quality", quality).withColumn("warn", F.col("quality") < least).select(*by, "quality", "worst", "warn")
 
 
 def histogram_distance(rows: DataFrame, by: list[str], frame: str, code: str) -> DataFrame:

@@ -57,3 +57,12 @@ def test_tags(spark):
     assert [value(spark, tags.keyword_target(F.lit(n), 10.0)) for n in (0, 25, 35)] == [1, 2, 4]
     r = value(spark, tags.unit_random(F.lit("a"), F.lit("1")))
     assert 0 <= r < 1 and r == value(spark, tags.unit_random(F.lit("a"), F.lit("1")))
+
+
+def test_weighted_quality_is_exact(spark):
+    """Sums of doubles come out under or over 0.05, and half a digit under or over, as the rows happen to be dealt; the exact ones don't."""
+    rows = [("even", 0.1, 1.0), ("even", 0.0, 1.0), *(("even", d / 100, q) for d in range(11) for q in (3.0, 17.0, 29.0)), *(("tie", x, 1.0) for x in (0.1, 0.2, 0.3, 0.7, 0.000065)), ("none", None, 2.0), ("odd", 1 / 3, 3.0)]
+    expected = {("even", 0.05, 0.0, False), ("tie", 0.260013, 0.000065, False), ("none", None, None, None), ("odd", 0.333333, 1 / 3, False)}
+    for turned in (rows, rows[::-1], sorted(rows, key=lambda r: (r[1] or 0) * r[2]), sorted(rows, key=lambda r: -(r[1] or 0) * r[2])):
+        got = tr.weighted_quality(spark.createDataFrame(turned, "k string, v double, w double").coalesce(1), ["k"], "v", "w", 0.05)
+        assert {(r.k, r.q, r.worst, r.warn) for r in got.select("k", F.round("quality", 6).alias("q"), "worst", "warn").collect()} == expected
