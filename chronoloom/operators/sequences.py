@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import exact
+
 
 def _w(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -172,10 +174,15 @@ def normalised(series: DataFrame, by: list[str], low: float, high: float, least:
 
 
 def gated(series: DataFrame, by: list[str], floor: float, under: float) -> DataFrame:
-    """The samples over floor that aren't more than under below the mean of all over floor."""
+    """The samples over floor that are less than under below the mean of all over floor.
+
+    Where all of a group have at most six digits behind the point they are summed exactly: one that is just so far below the mean goes, however the rows are dealt out.
+    """
+    x = exact(F.col("value"))
     over = series.where(F.col("value") > floor)
-    first = over.groupBy(*by).agg(F.avg("value").alias("_mean"))
-    return over.join(first, by).where(F.col("value") > F.col("_mean") - under).drop("_mean")
+    first = over.groupBy(*by).agg(F.avg("value").alias("_mean"), F.count("*").alias("_n"), F.when(F.bool_and(x.isNotNull()), F.try_sum(x)).alias("_sum"))
+    near = F.when(F.col("_sum").isNotNull(), (x + exact(F.lit(under))) * F.col("_n") > F.col("_sum")).otherwise(F.col("value") > F.col("_mean") - under)
+    return over.join(first, by).where(near).drop("_mean", "_n", "_sum")
 
 
 def first_of(rows: DataFrame, by: list[str], order: list, n: int = 1) -> DataFrame:

@@ -239,8 +239,7 @@ def a7_gated_mean(spark, sf_dir):
     SELECT plan_id, round(quantile_cont(value, 0.95) - quantile_cont(value, 0.1), 4) AS "range" FROM series JOIN m USING (plan_id) WHERE value > 5 AND value > m - 40 GROUP BY 1"""
 )
 def a8_gated_range(spark, sf_dir):
-    over = src.series(spark, sf_dir).where("value > 5")
-    rows = over.join(over.groupBy("plan_id").agg(F.avg("value").alias("m")), "plan_id").where("value > m - 40")
+    rows = sq.gated(src.series(spark, sf_dir), BY, 5.0, 40.0)
     return rounded(rows.groupBy("plan_id").agg((F.percentile("value", 0.95) - F.percentile("value", 0.1)).alias("range")), "range", digits=4)
 
 

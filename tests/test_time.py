@@ -147,3 +147,11 @@ def test_sections_and_suppression(spark):
     assert got[0] == "intro" and got[-1] == "outro" and "drop" in got
     picks = spark.createDataFrame([(1, 0, 1.0), (1, 3, 5.0), (1, 10, 2.0)], "plan_id int, idx long, value double")
     assert [(r.idx, r.value) for r in sq.suppressed(picks, BY, 6).orderBy("idx").collect()] == [(3, 5.0), (10, 2.0)]
+
+
+def test_gate_at_the_mean_is_exact(spark):
+    """The first value is just 40 under the mean and goes, though the sum of doubles in this order says that it isn't."""
+    values = [12.24, 18.21, 71.23, 17.73, 96.26, 70.74, 70.76, 105.45, 21.26, 38.52]
+    for turned in (values, values[::-1], sorted(values), sorted(values, reverse=True), values[5:] + values[:5]):
+        got = sq.gated(series(spark, turned).coalesce(1), BY, 5.0, 40.0)
+        assert sorted(r.value for r in got.collect()) == sorted(values)[1:]
