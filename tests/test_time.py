@@ -155,3 +155,15 @@ def test_gate_at_the_mean_is_exact(spark):
     for turned in (values, values[::-1], sorted(values), sorted(values, reverse=True), values[5:] + values[:5]):
         got = sq.gated(series(spark, turned).coalesce(1), BY, 5.0, 40.0)
         assert sorted(r.value for r in got.collect()) == sorted(values)[1:]
+
+
+def test_section_edges_fall_as_in_sql():
+    """A value a third of the way from one quantile to the other falls on the side that quantile_cont puts it."""
+    import duckdb
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        values = np.round(rng.exponential(50, rng.integers(2, 90)), 2)
+        low, high = duckdb.execute("SELECT quantile_cont(x, 0.1), quantile_cont(x, 0.9) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values.tolist()]).fetchone()
+        assert (st.quantile(values, 0.1), st.quantile(values, 0.9)) == (low, high)
