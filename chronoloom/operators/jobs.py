@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,22 +27,27 @@ def revisions(events: DataFrame, by: list[str], order: list[str], content: Colum
 def claims(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Compare-and-set on a revision: an event is accepted if its expected revision is the current one, which then rises by one.
 
-    by, seq, expected, accepted and rev after it. What is accepted depends on all before, so a job's events are folded in one task, as a stream.
+    events with accepted and rev after it. What is accepted depends on all before, so a job's events are walked through in order; a task sorts the events of its jobs (spilling) and
+    streams through all of them, batch by batch: no call for each job, and no job is held.
     """
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        rev, accepted, revs = 0, [], []
-        for expected in rows["expected"]:
-            ok = expected == rev
-            rev += ok
-            accepted.append(bool(ok))
-            revs.append(rev)
-        return rows.assign(accepted=accepted, rev=revs)
-
-    schema = f"{', '.join(f'{c} {t}' for c, t in events.dtypes)}, accepted boolean, rev long"
-    return events.groupBy(*by).applyInPandas(fold, schema)
+    n = F.row_number().over(Window.partitionBy(*by).orderBy(*(F.asc_nulls_last(c) for c in order))).alias("_n")
+    at = events.columns.index("expected")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rev = 0
+        for batch in batches:
+            accepted, revs = [], []
+            for place, expected in zip(batch.column(batch.num_columns - 1).to_pylist(), batch.column(at).to_pylist(), strict=True):
+                rev = 0 if place == 1 else rev
+                ok = expected == rev
+                rev += ok
+                accepted.append(ok)
+                revs.append(rev)
+            columns = [*batch.columns[:-1], pa.array(accepted, pa.bool_()), pa.array(revs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "accepted", "rev"])
+
+    schema = f"{', '.join(f'`{c}` {t}' for c, t in events.dtypes)}, accepted boolean, rev long"
+    return events.select("*", n).mapInArrow(run, schema)
 
 
 def latest(updates: DataFrame, by: list[str], order: list) -> DataFrame:

@@ -126,3 +126,11 @@ def test_handles_in_context(spark):
         5: {("url", "instagram", "@live", False), ("url", "instagram", None, False), ("url", "tiktok", None, False)}, 6: {("handle", "instagram", "@who", True)}, 7: {("handle", "instagram", "@twice", True)},
         9: {("url", "telegram", None, False), ("url", "telegram", "@joe", False)}, 10: {("url", "facebook", "@live", False)},
     }, got
+
+
+def test_claims_stream_through_many_jobs(spark):
+    """No call for each job: 20,000 jobs in one partition are one pass, and a job's revision starts anew whatever batch it begins in."""
+    rows = spark.range(60_000, numPartitions=1).select((F.col("id") % 20_000).alias("job"), (F.col("id") / 20_000).cast("int").alias("seq")).withColumn("expected", F.when(F.col("seq") < 2, 0).otherwise(1).cast("long"))
+    got = jb.claims(rows, ["job"], ["seq"])
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    assert [tuple(r) for r in got.groupBy("seq", "accepted", "rev").count().orderBy("seq").collect()] == [(0, True, 1, 20_000), (1, False, 1, 20_000), (2, True, 2, 20_000)]
