@@ -47,7 +47,9 @@ def j17_spoken_windows(spark, sf_dir):
     """A document's first line is its title, the others are its transcript."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     docs = src.table(spark, sf_dir, "documents").select("doc_id", F.element_at(lines, 1).alias("title"), F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n").alias("text"))
-    found = matching.spoken_windows(docs.select("doc_id", keys(F.col("title")).alias("tokens")), keyed_words(docs, "doc_id"), ["doc_id"])
+    docs = docs.select("doc_id", "text", keys(F.col("title")).alias("tokens"))
+    words = keyed_words(docs.where(F.size("tokens") > 0), "doc_id", "tokens").where(F.array_contains("tokens", F.col("key"))).drop("tokens")  # the others can't count, and needn't be dealt out
+    found = matching.spoken_windows(docs.select("doc_id", "tokens"), words, ["doc_id"])
     return found.select("doc_id", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.col("matched").cast("long").alias("matched"))
 
 
