@@ -34,15 +34,29 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 
 _scratch: list[list[str]] = []
+#: Spark removes the shuffle files of a query as soon as it has ended, where this is true.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go when it has ended, and not when the driver next collects garbage: for queries whose rows are written or collected by then."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Within it, what cut() holds is removed at the end: for work whose result is written by then."""
+    """Within it, what cut() holds is removed at the end, and what queries shuffle as they end: for work whose result is written by then."""
     folders: list[str] = []
     _scratch.append(folders)
     try:
-        yield
+        with shuffles_removed(spark):
+            yield
     finally:
         _scratch.remove(folders)
         for at in folders:
@@ -55,7 +69,8 @@ def cut(df: DataFrame) -> DataFrame:
     at = new_folder(df.sparkSession, "cut")
     if _scratch:
         _scratch[-1].append(at)
-    df.write.parquet(at)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

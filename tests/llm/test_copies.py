@@ -345,6 +345,17 @@ def test_only_similar_shingles_are_near(spark):
     assert kept == expected
 
 
+def test_shuffle_files_go_with_their_query(spark):
+    from chronoloom.llm import common
+
+    before = spark.conf.get(common.CLEANUP, None)
+    with common.scratch(spark):
+        assert spark.conf.get(common.CLEANUP) == "true"
+        held = common.cut(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+        assert held.count() == 7
+    assert spark.conf.get(common.CLEANUP, None) == before
+
+
 def test_items_with_null_and_repeated_ids_leak(spark):
     rng = random.Random(3)
     short, long, nameless = (prose(rng, n) for n in (38, 59, 30))
