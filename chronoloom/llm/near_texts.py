@@ -1,9 +1,10 @@
-"""Near-duplicate texts by their sets of word shingles, as groups.
+"""Near-duplicate texts as groups: by SimHash fingerprints, and by their sets of word shingles where these differ more.
 
-Texts with equal sets are one node, named by a hash of the set. Nodes meet in the buckets of their min-hash bands, and each pair that counts is
+Texts whose fingerprints differ in few bits are brought together as in simhash, by its probing of buckets, and verified by their sets. A similarity of 0.8 moves some ten of 64 bits, more
+than can be probed; so pairs that fingerprints miss are found by bands. Texts with equal sets are one node, named by a hash of the set. Nodes meet in the buckets of their min-hash bands, and each pair that counts is
 verified set against set. Only groups matter, not pairs, and so a bucket is worked off by contraction:
 
-1. each node meets the most popular node of its buckets (that which shares most buckets with most others): a group of very many near copies hangs on
+1. each node meets the most popular node that near fingerprints lead to, and that of its buckets (that which shares most buckets with most others): a group of very many near copies hangs on
    the text they were made from;
 2. buckets whose nodes are all in one group are done. In small ones of those left every two nodes of different groups meet, in the others each node meets the bucket's most
    popular node. The groups are joined, and the buckets that are done go;
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut, drop_rows, lookup, narrow, row_key
 from .graph import components
 from .shingles import SEED, SIMILARITY, band_keys, shingle_sets
+from .simhash import BITS, fingerprint, hashes, link_roots
 
 #: Buckets of so few nodes are small. Rows whose sets a worker holds at once.
 SMALL, BATCH = 8, 512
@@ -42,16 +44,17 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    """doc_id, _k1, _k2 (the row's key), node and its bands' keys for each row of docs; a null text counts as empty, and has no keys like any other without a word."""
+    """doc_id, _k1, _k2 (the row's key), node, its bands' keys and the fingerprint for each row of docs; a null text counts as empty, and has no keys like any other without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in slices(batches):
-            columns = [*part.columns[:3], pa.array([set_name(x) for x in sets], pa.int64()), pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_k1", "_k2", "node", "keys"])
+            prints = [fingerprint(hashes(x.as_py() or "")) for x in part.column(3)]
+            columns = [*part.columns[:3], pa.array([set_name(x) for x in sets], pa.int64()), pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_k1", "_k2", "node", "keys", "fp"])
 
     one, two = row_key(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), one.alias("_k1"), two.alias("_k2"), "text")
-    return rows.mapInArrow(run, "doc_id long, _k1 long, _k2 long, node long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, _k1 long, _k2 long, node long, keys array<long>, fp long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -80,6 +83,19 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return cut(lookup(pairs, one, ["a"], F.col("b")).join(two, "b").where(alike(least)).select("a", "b"))
 
 
+def fingerprint_pairs(rows: DataFrame, popular: DataFrame, bits: int = BITS) -> DataFrame:
+    """Pairs (a, b) of each node of rows with the most popular (node, popular) of those that fingerprints of at most bits differing bits lead to.
+
+    A node may have several fingerprints; texts without a word are one node and take no part.
+    """
+    known = cut(rows.where(F.size("keys") > 0).select("node", "fp").distinct())
+    roots = link_roots(cut(known.select("fp").distinct()), bits)
+    rooted = cut(lookup(known, roots, ["fp"], F.col("node")).select("node", "root").distinct().join(popular, "node"))
+    pivots = rooted.groupBy("root").agg(F.max(F.struct("popular", "node")).alias("pivot"))
+    met = lookup(rooted, pivots, ["root"], F.col("node")).select(F.least("pivot.node", "node").alias("a"), F.greatest("pivot.node", "node").alias("b"))
+    return cut(met.where("a < b").distinct())
+
+
 def groups(rows: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """node and root for each node of rows that is not alone; root is the least node of its group."""
     nodes = cut(rows.groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("of"), F.first("keys").alias("keys")))
@@ -88,12 +104,15 @@ def groups(rows: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataF
     mine = keyed.join(shared, "key").groupBy("node").agg(F.collect_list(F.struct("key", "size")).alias("own"))  # BANDS keys at most
     popular = F.aggregate("own", F.lit(0).cast("long"), lambda s, x: s + x["size"])
     members = cut(mine.select("node", popular.alias("popular"), F.explode("own.key").alias("key")))
-    sets = cut(sets_of(docs, cut(nodes.join(members.select("node").distinct(), "node", "left_semi").select("of.*"))).dropDuplicates(["node"]))
+    ranked = nodes.select("node").join(members.select("node", "popular").distinct(), "node", "left").select("node", F.coalesce("popular", F.lit(0)).alias("popular"))
+    printed = fingerprint_pairs(rows, ranked)
+    wanted = members.select("node").union(printed.select("a")).union(printed.select("b")).distinct()
+    sets = cut(sets_of(docs, cut(nodes.join(wanted, "node", "left_semi").select("of.*"))).dropDuplicates(["node"]))
 
     pivots = members.groupBy("key").agg(F.max(F.struct("popular", "node")).alias("pivot"))
     best = members.join(pivots, "key").groupBy("node").agg(F.max("pivot").alias("pivot"))
     met = best.select(F.least("pivot.node", "node").alias("a"), F.greatest("pivot.node", "node").alias("b"))
-    tested = cut(met.where("a < b").distinct())
+    tested = cut(met.where("a < b").union(printed).distinct())
     links = verified(tested, sets, least)
     open_ = still_open(members, components(links))
     small, large = open_.where(F.col("size") <= SMALL), open_.where(F.col("size") > SMALL)
@@ -132,7 +151,7 @@ def still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, _k1, _k2 (the row's key) and root, the number of its group, for each row of docs.
 
-    A group is what links of similarity least or more lead to. Texts with no word are one group, as are rows that repeat; null texts count as empty and null ids stay null. An empty
+    A group is what links of similarity least or more lead to, found by fingerprints or by bands. Texts with no word are one group, as are rows that repeat; null texts count as empty and null ids stay null. An empty
     table gives no rows; other columns don't matter. Whole texts count, however long.
     """
     rows = cut(rows_of(docs))

@@ -23,7 +23,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the largest doc_id of each group of near-duplicates stays, as in the stage before. Texts without a word, null or empty, are one group."""
+    """The document with the largest doc_id of each group of near-duplicates (found by fingerprints, and by bands of min-hashes where these differ more; verified by shingles) stays, as in the stage before. Texts without a word, null or empty, are one group."""
     return drop_near(docs)
 
 

@@ -345,6 +345,18 @@ def test_only_similar_shingles_are_near(spark):
     assert kept == expected
 
 
+def test_near_fingerprints_bring_texts_together(spark):
+    """Without a band in common, texts are still found by fingerprints, and told apart by their sets."""
+    rng = random.Random(4)
+    words = prose(rng, 400).split()
+    docs = frame(spark, [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, prose(rng, 400)), (4, None)])
+    one, two = (simhash.fingerprint(simhash.hashes(" ".join(x))) % (1 << 64) for x in (words, [*words, "more"]))
+    assert 0 < (one ^ two).bit_count() <= simhash.BITS
+    rows = near_texts.rows_of(docs).withColumn("keys", F.when(F.size("keys") > 0, F.array("node")).otherwise(F.col("keys")))
+    got = near_texts.groups(rows, docs).collect()
+    assert len(got) == 2 and len({r.root for r in got}) == 1
+
+
 def test_shuffle_files_go_with_their_query(spark):
     from chronoloom.llm import common
 
