@@ -115,22 +115,24 @@ def highlights_mapped(highlights: DataFrame, plans: DataFrame, kept: DataFrame,
 def preview_groups(words: DataFrame, by: list[str], order: str, size: int = 4, gap: float = 0.45) -> DataFrame:
     """words with group: at most size words, broken behind . ! ? and at longer gaps; a group of one word then joins the one before it, if it is near.
 
-    Of single words in a row only every second joins, from the last on, as the one before it has a second word by then. Windows by plan, no fold.
+    Of single words in a row only every second joins, from the last on, as the one before it has a second word by then. Two sorts by plan, up and down in time, and no fold.
     """
-    w, until = Window.partitionBy(*by).orderBy(order), iv._until
-    far = F.col("start") - F.lag("end").over(w)
-    ends = F.rtrim(F.lag("text").over(w)).rlike(r"[.!?]$")
-    rows = words.withColumn("_gap", far).withColumn("_new", F.when(far.isNull() | (far > gap) | ends, 1).otherwise(0)).withColumn("_island", F.sum("_new").over(until(by, order)))
-    place = F.row_number().over(Window.partitionBy(*by, "_island").orderBy(order)) - 1
-    rows = rows.withColumn("_first", (place % size == 0).cast("int")).withColumn("_raw", F.sum("_first").over(until(by, order)))
-    alone = F.count("*").over(Window.partitionBy(*by, "_raw")) == 1
-    rows = rows.withColumn("_joins", (alone & (F.col("_gap") < gap)).cast("int"))
-    # rows after this one up to the first that doesn't join; single words are rows of their own
-    run = F.sum(1 - F.col("_joins")).over(Window.partitionBy(*by).orderBy(F.desc(order)))
-    rows = rows.withColumn("_run", run).withColumn("_left", F.row_number().over(Window.partitionBy(*by, "_run", "_joins").orderBy(F.desc(order))))
-    starts = F.when((F.col("_joins") == 1) & (F.col("_left") % 2 == 1), 0).otherwise(F.col("_first"))
-    rows = rows.withColumn("_starts", starts).withColumn("group", (F.sum("_starts").over(until(by, order)) - 1).cast("int"))
-    return rows.select(*words.columns, "group")
+    w, until = Window.partitionBy(*by).orderBy(order), iv._until(by, order)
+    down = Window.partitionBy(*by).orderBy(F.desc(order))
+    rows = words.withColumn("_stop", F.right(F.rtrim("text"), F.lit(1)).isin(".", "!", "?"))  # before rows are shuffled: where nobody asks for the text, it stays behind
+    rows = rows.select("*", (F.col("start") - F.lag("end").over(w)).alias("_gap"), F.lag("_stop").over(w).alias("_ends"), F.row_number().over(w).alias("_n"))
+    new = F.col("_gap").isNull() | (F.col("_gap") > gap) | F.col("_ends")
+    place = F.col("_n") - F.max(F.when(new, F.col("_n"))).over(until)
+    rows = rows.withColumn("_first", (place % size == 0).cast("int"))
+    alone = (F.col("_first") == 1) & (F.lead("_first", 1, 1).over(w) == 1)
+    rows = rows.withColumn("_joins", F.coalesce(alone & (F.col("_gap") < gap), F.lit(False)))
+    # how many rows from this one on to the first that doesn't join, or to the end; single words are rows of their own
+    until_down = down.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_left", F.coalesce(F.min(F.when(~F.col("_joins"), F.col("_n"))).over(until_down), F.max("_n").over(until_down) + 1) - F.col("_n"))
+    rows = rows.withColumn("_starts", F.when(F.col("_joins") & (F.col("_left") % 2 == 1), 0).otherwise(F.col("_first")))
+    behind = F.sum("_starts").over(until_down) - F.col("_starts")
+    total = F.sum("_starts").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.withColumn("group", (total - behind - 1).cast("int")).select(*words.columns, "group")
 
 
 def words_of_groups(groups: DataFrame, words: DataFrame, by: list[str]) -> DataFrame:

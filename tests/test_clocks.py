@@ -90,3 +90,10 @@ def test_empty_tables(spark):
     words = spark.createDataFrame([], "p long, i int, text string, start double, end double")
     assert clocks.captions_on_both_clocks(words, kept, ["p"], "i").count() == 0
     assert iv.keeps(spark.createDataFrame([], "p long, start double, end double, enabled boolean"), plans, ["p"]).count() == 2
+
+
+def test_preview_groups_sort_twice_and_shuffle_no_text(spark):
+    """One shuffle by plan, a sort up and one down; the text is left behind where nobody asks for it."""
+    words = spark.range(40).select((F.col("id") % 3).alias("p"), F.col("id").alias("i"), F.concat(F.col("id").cast("string"), F.lit(".")).alias("text"), F.col("id").cast("double").alias("start"), (F.col("id") + 0.5).alias("end"))
+    plan = clocks.preview_groups(words, ["p"], "i").select("p", "i", "group")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 2
