@@ -31,8 +31,8 @@ WORDS, BITS, SEED = 4, 4, 42
 #: What a row probed and a candidate compared cost, in microseconds.
 PROBE_COST, CANDIDATE_COST = 2.0, 0.05
 BLOCK = 1 << 16
-#: Pivots of a bucket, and rounds in which its rows meet them.
-PIVOTS, ROUNDS = 3, 2
+#: Pivots of a bucket.
+PIVOTS = 6
 
 
 def hashes(text: str, words: int = WORDS) -> np.ndarray:
@@ -208,17 +208,13 @@ def link_roots(fps: DataFrame, k: int) -> DataFrame:
     nodes = fps.select("fp", F.col("fp").alias("root"))
     if not parts:
         return nodes
-    links = None
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= k
     by = ["part", "value"]
-    for r in range(ROUNDS):
-        held = buckets(nodes, parts)
-        order = [F.min_by("fp", F.xxhash64("fp", F.lit(PIVOTS * r + j))) for j in range(PIVOTS)]
-        pivots = held.groupBy(*by).agg(F.array_distinct(F.array(*order)).alias("pivots"), F.count("*").alias("n")).where("n > 1")
-        met = held.join(pivots, by).select("fp", "root", F.explode("pivots").alias("pivot")).where((F.col("fp") != F.col("pivot")) & close("fp", "pivot"))
-        new = met.select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")).distinct()
-        links = cut(new if links is None else links.union(new).distinct())
-        nodes = rooted(fps, links)
+    held = buckets(nodes, parts)
+    order = [F.min_by("fp", F.xxhash64("fp", F.lit(j))) for j in range(PIVOTS)]
+    pivots = held.groupBy(*by).agg(F.array_distinct(F.array(*order)).alias("pivots"), F.count("*").alias("n")).where("n > 1")
+    met = held.join(pivots, by).select("fp", F.explode("pivots").alias("pivot")).where((F.col("fp") != F.col("pivot")) & close("fp", "pivot"))
+    nodes = rooted(fps, met.select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")).distinct())
     held = buckets(nodes, parts)
     tops = largest_roots(held)
     asking = probes(nodes, parts).join(tops, by).select(F.col("fp").alias("a"), F.col("root").alias("roota"), *by, (F.col("root") == F.col("top")).alias("inside"))

@@ -93,6 +93,32 @@ def test_components_against_union_find(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("size", [7, 150, 400])
+def test_components_of_many_blocks(spark, size):
+    """Blocks leave links between them to the stars; or so few that one block is enough; or all fit in one."""
+    rng = random.Random(size)
+    links = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000 + i, 2000 + j) for i in range(12) for j in range(i)]
+    rng.shuffle(links)
+    links = [(a, b) for a, b in links if a != b]
+    got = graph.components(spark.createDataFrame(links, "a long, b long").repartition(3), size).collect()
+    assert len(got) == len({r.node for r in got}) and {r.node: r.root for r in got} == roots(links)
+
+
+def test_fingerprints_are_linked_by_few_jobs(spark):
+    """What a round of jobs leaves in the driver adds up: whole rounds of stars for a few links took it over its memory."""
+    rng = random.Random(6)
+    fps = [rng.getrandbits(63) for _ in range(200)]
+    fps += [x ^ 1 << rng.randrange(63) for x in fps]
+    spark.sparkContext.setJobGroup("few jobs", "")
+    try:
+        got = simhash.link_roots(spark.createDataFrame([(x,) for x in sorted(set(fps))], "fp long"), 4).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len({r.root for r in got}) == 200
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few jobs"))
+    assert jobs < 80, jobs
+
+
 def test_near_duplicates_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     docs = docs.union(spark.createDataFrame([(5001, ""), (5002, None), (5003, "One"), (5003, "One"), (None, "one")], docs.schema))
