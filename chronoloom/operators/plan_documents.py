@@ -33,10 +33,29 @@ def let(x: Column, f) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
-def fields(value: Column, path: str = "$") -> Column:
-    """The fields of an object in a variant, as JSON text by name; empty where there is no object."""
-    got = F.transform_values(F.try_variant_get(value, path, "map<string,variant>"), lambda _, x: F.coalesce(F.to_json(x), F.lit(NONE)))
-    return F.coalesce(got, F.create_map().cast("map<string,string>"))
+def json_text(value: Column) -> Column:
+    """A variant as JSON text that stays the same when it is parsed and written again (a double like 1e5 is 100000.0 the first time).
+
+    to_json and parse_json make a JSON factory for every string and every call, which took most of the time; a string is therefore quoted here, and plain takes the quotes off.
+    """
+    again = lambda t: F.when(t.rlike("\\.0(?![0-9])"), F.coalesce(F.to_json(parsed(t)), t)).otherwise(t)
+    return F.when(F.schema_of_variant(value) == "STRING", quoted(F.try_variant_get(value, "$", "string"))).otherwise(let(F.coalesce(F.to_json(value), F.lit(NONE)), again))
+
+
+def members(value: Column, path: str = "$", but: tuple[str, ...] = ()) -> Column:
+    """The fields of an object in a variant, but for some, as JSON text by name; null where there is no object."""
+    got = F.try_variant_get(value, path, "map<string,variant>")
+    return F.transform_values(F.map_filter(got, lambda k, _: ~k.isin(*but)) if but else got, lambda _, x: json_text(x))
+
+
+def fields(value: Column, path: str = "$", but: tuple[str, ...] = ()) -> Column:
+    """members, empty where there is no object."""
+    return F.coalesce(members(value, path, but), F.create_map().cast("map<string,string>"))
+
+
+def field(value: Column, path: str) -> Column:
+    """One field of a variant, as JSON text."""
+    return json_text(F.try_variant_get(value, path, "variant"))
 
 
 def parsed(json: Column) -> Column:
@@ -45,13 +64,13 @@ def parsed(json: Column) -> Column:
 
 def listed(value: Column, path: str = "$") -> Column:
     """The elements of an array in a variant, as JSON text; empty where there is no array."""
-    got = F.transform(F.try_variant_get(value, path, "array<variant>"), lambda x: F.coalesce(F.to_json(x), F.lit(NONE)))
-    return F.coalesce(got, F.array().cast("array<string>"))
+    return F.coalesce(F.transform(F.try_variant_get(value, path, "array<variant>"), json_text), F.array().cast("array<string>"))
 
 
 def plain(json: Column) -> Column:
     """What a JSON scalar says, as text; null for null, the JSON itself for objects and arrays."""
-    return F.try_variant_get(parsed(json), "$", "string")
+    simple = json.rlike(r'(?s)^"[^\\]*"$')
+    return F.when(simple, F.substring(json, F.lit(2), F.length(json) - 2)).otherwise(F.try_variant_get(parsed(json), "$", "string"))
 
 
 def is_a(json: Column, first: str) -> Column:
@@ -60,12 +79,12 @@ def is_a(json: Column, first: str) -> Column:
 
 def finite(json: Column) -> Column:
     """A JSON number, or a string that is one, as a finite double; else null."""
-    text = F.when(json.rlike('^[-0-9"]'), plain(json))
-    return let(text, lambda t: F.when(~t.rlike("[dDfF]\\s*$"), number(t)))
+    text = F.when(json.rlike("^[-0-9]"), json).when(is_a(json, '"'), plain(json))
+    return let(text, lambda t: let(F.when(t.rlike("[0-9]") & ~t.rlike("[dDfF]\\s*$"), t.try_cast("double")), number))
 
 
 def quoted(text: Column) -> Column:
-    return let(text, lambda t: F.when(t.isNotNull(), F.regexp_replace(F.to_json(F.array(t)), r"(?s)^\[|\]$", "")))
+    return let(text, lambda t: F.when(t.rlike(r'[\x00-\x1f"\\]'), F.btrim(F.to_json(F.array(t)), F.lit("[]"))).otherwise(F.concat(F.lit('"'), t, F.lit('"'))))
 
 
 def written(x: Column) -> Column:
@@ -84,7 +103,7 @@ def truth(x: Column) -> Column:
 
 def as_object(by_name: Column) -> Column:
     """JSON text of an object, its fields in order of their names."""
-    pairs = F.transform(F.array_sort(F.map_entries(by_name)), lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["value"]))
+    pairs = F.transform(F.sort_array(F.map_entries(by_name)), lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["value"]))
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 
@@ -109,15 +128,18 @@ def put(base: Column, **values: Column) -> Column:
 
 def coerced(json: Column, rule: Column) -> Column:
     """A value as its rule wants it, by its type: num (clamped, whole on steps of 1; a point of size numbers), bool, color, select, text; the default otherwise."""
-    return let(F.struct(json.alias("json"), finite(json).alias("x"), listed(parsed(json)).alias("parts"), plain(json).alias("text")), lambda v: _coerced(v["json"], v["x"], v["parts"], v["text"], rule))
+    return let(F.struct(json.alias("json"), finite(json).alias("x")), lambda v: _coerced(v["json"], v["x"], rule))
 
 
-def _coerced(json: Column, x: Column, parts: Column, said: Column, rule: Column) -> Column:
+def _coerced(json: Column, x: Column, rule: Column) -> Column:
+    # Each branch parses only what it needs.
+    said, parts = plain(json), F.when(is_a(json, "["), listed(parsed(json))).otherwise(F.array().cast("array<string>"))
     default = F.coalesce(rule["default"], F.lit(NONE))
     held = lambda v: let(v, lambda n: F.when(n.isNotNull(), F.least(F.greatest(n, rule["low"]), rule["high"])))
     whole = (rule["step"] == 1) & (rule["low"] == F.floor(rule["low"]))
     num = F.when(x.isNull(), default).when(whole, written(F.bround(held(x)))).otherwise(written(held(x)))
-    point = F.when((F.size(parts) == rule["size"]) & F.forall(parts, lambda p: finite(p).isNotNull()), as_array(F.transform(parts, lambda p: written(held(finite(p)))))).otherwise(default)
+    numbers = let(parts, lambda ps: F.transform(ps, finite))
+    point = let(numbers, lambda ns: F.when((F.size(ns) == rule["size"]) & F.forall(ns, lambda n: n.isNotNull()), as_array(F.transform(ns, lambda n: written(held(n))))).otherwise(default))
     flag = F.when(json.isin("true", "false"), json).when(json.rlike("^[-0-9]"), truth(F.coalesce(x, F.lit(1.0)) != 0)).otherwise(F.when(default == "true", "true").otherwise("false"))
     color = lambda v: F.when(is_a(v, '"'), colored(plain(v)))
     one = F.coalesce(quoted(color(json)), F.when(F.coalesce(rule["nullable"], F.lit(False)), F.lit(NONE)).otherwise(default))
@@ -221,12 +243,18 @@ def stops(texts: Column, duration: Column) -> Column:
     return _rows(texts, lambda x: F.when(is_a(x, "{"), let(fields(parsed(x)), cleaned)))
 
 
+def _entries(plans: DataFrame, by: list[str], json: str, name: str, made) -> DataFrame:
+    """by, track, i, duration and what made makes of the variant of every entry of the plans' tracks."""
+    rows = plans.select(*by, parsed(F.col(json)).alias("_v")).withColumn("duration", finite(field(F.col("_v"), "$.duration")))
+    entry = lambda track: lambda x, i: F.struct(F.lit(track).alias("track"), i.alias("i"), made(x).alias(name))
+    tracks = (F.transform(F.try_variant_get(F.col("_v"), f"$.fx.{t}", "array<variant>"), entry(t)) for t in TRACKS)
+    each = F.flatten(F.filter(F.array(*tracks), lambda x: x.isNotNull()))
+    return rows.select(*by, F.when(F.col("duration") > 0, F.col("duration")).alias("duration"), F.inline(each))
+
+
 def items(plans: DataFrame, by: list[str], json: str = "json") -> DataFrame:
     """by, track, i, duration and item (JSON text) of every entry of the plans' tracks."""
-    rows = plans.select(*by, parsed(F.col(json)).alias("_v")).withColumn("duration", finite(F.try_element_at(fields(F.col("_v")), F.lit("duration"))))
-    entry = lambda track: lambda x, i: F.struct(F.lit(track).alias("track"), i.alias("i"), x.alias("item"))
-    each = F.flatten(F.array(*(F.transform(listed(F.col("_v"), f"$.fx.{t}"), entry(t)) for t in TRACKS)))
-    return rows.select(*by, F.when(F.col("duration") > 0, F.col("duration")).alias("duration"), F.inline(each))
+    return _entries(plans, by, json, "item", json_text)
 
 
 def normal_items(plans: DataFrame, catalog: DataFrame, by: list[str], fill: bool = False, json: str = "json") -> tuple[DataFrame, DataFrame]:
@@ -235,7 +263,8 @@ def normal_items(plans: DataFrame, catalog: DataFrame, by: list[str], fill: bool
     Ranges are put in order, into the plan and to a least length; a missing, repeated or blank id is replaced by the next number behind the track's largest.
     """
     key = lambda i: F.element_at(F.create_map(*(x for t, v in TRACKS.items() for x in (F.lit(t), F.lit(v[i])))), F.col("track"))
-    rows = items(plans, by, json).withColumns({"_m": fields(parsed(F.col("item"))), "_object": is_a(F.col("item"), "{")})
+    rows = _entries(plans, by, json, "_fields", members)
+    rows = rows.withColumns({"_m": F.coalesce("_fields", F.create_map().cast("map<string,string>")), "_object": F.col("_fields").isNotNull()})
     at = lambda k: F.try_element_at(F.col("_m"), F.lit(k))
     untitled = (F.col("track") == "text") & (F.coalesce(at("preset"), F.lit(NONE)).isin(NONE, '""', "false", "0"))
     rows = rows.withColumn("_m", F.when(untitled, put(F.col("_m"), preset=F.lit(f'"{TEXT_PRESET}"'))).otherwise(F.col("_m")))
@@ -281,14 +310,19 @@ def normal_items(plans: DataFrame, catalog: DataFrame, by: list[str], fill: bool
     return good.select(*by, "track", "i", "id", as_object(F.col("_m")).alias("item")), dropped
 
 
-def migrated(plan: Column, defaults: str, custom: Column | None = None) -> Column:
+def migrated(plan: Column, defaults: str, custom: Column | None = None, but: tuple[str, ...] = ()) -> Column:
     """A plan's JSON (version 1 or 2) with version 2, shots, and the fields of SECTIONS filled from defaults (JSON), none that is there replaced.
 
     custom is JSON with a version 1 plan's caption options: cap_pos, cap_color, base_color, cap_case and cap_scale, which count for those plans only.
+    but names fields of fx that are left out.
     """
-    v, base = parsed(plan), parsed(F.lit(defaults))
-    top = fields(v)
-    fx = fields(v, "$.fx")
+    return let(parsed(plan), lambda v: _migrated(v, defaults, custom, but))
+
+
+def _migrated(v: Column, defaults: str, custom: Column | None, but: tuple[str, ...]) -> Column:
+    base = parsed(F.lit(defaults))
+    top = fields(v, but=("fx",))
+    fx = fields(v, "$.fx", but)
     filled = {s: over(fields(base, f"$.{s}"), fields(v, f"$.{s}")) for s in SECTIONS}
     if custom is not None:
         c = fields(parsed(custom))
@@ -300,7 +334,7 @@ def migrated(plan: Column, defaults: str, custom: Column | None = None) -> Colum
         low = F.when(finite(at("cap_pos")).isNotNull(), written(F.least(F.lit(0.9), F.greatest(F.lit(0.1), finite(at("cap_pos"))))))
         case = F.when(at("cap_case").isin('"none"', '"upper"', '"lower"', '"title"'), at("cap_case"))
         old = put(caps, y=F.coalesce(low, now("y")), accent=F.coalesce(color("cap_color"), now("accent")), color=F.coalesce(color("base_color"), now("color")), case=F.coalesce(case, now("case")), size=F.coalesce(scaled, now("size")))
-        is_new = F.coalesce(F.try_element_at(top, F.lit("version")) == str(VERSION), F.lit(False)) & is_a(F.try_element_at(top, F.lit("fx")), "{")
+        is_new = F.coalesce(F.try_element_at(top, F.lit("version")) == str(VERSION), F.lit(False)) & F.try_variant_get(v, "$.fx", "map<string,variant>").isNotNull()
         filled["fx.captions"] = F.when(is_new, caps).otherwise(old)
     shots = F.try_element_at(top, F.lit("shots"))
     block = put(fx, **{s[3:]: as_object(m) for s, m in filled.items() if s.startswith("fx.")})
@@ -312,8 +346,8 @@ def normalised(plans: DataFrame, catalog: DataFrame, defaults: str, by: list[str
 
     Besides the items: heights of captions, silences, swells and the music's drop are cleaned and put in order of time. One join by plan brings a plan's tracks back; a plan without items keeps empty ones.
     """
-    whole = plans.select(*by, migrated(F.col("json"), defaults).alias("json"))
-    good, dropped = normal_items(whole, catalog, by, fill)
+    whole = plans.select(*by, migrated(F.col("json"), defaults, but=tuple(TRACKS)).alias("json"))
+    good, dropped = normal_items(plans, catalog, by, fill)
     entry = F.sort_array(F.collect_list(F.struct("i", "item")))
     tracks = good.groupBy(*by, "track").agg(as_array(F.transform(entry, lambda x: x["item"])).alias("_list")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("track", "_list"))).alias("_tracks"))
     rows = whole.join(tracks, by, "left").withColumn("_v", parsed(F.col("json")))

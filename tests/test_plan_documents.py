@@ -73,3 +73,14 @@ def test_media_descriptors(spark):
     rows = ['{"sid":" ab-1 ","type":"image","w":3.5,"h":-1,"dur":"2.00004","crop":[2,0,"0.5",-1],"path":"/x"}', '{"sid":"../x"}', "[]", None, '{"sid":5}', '{"sid":"a","type":"gif","name":5,"crop":[1,2]}']
     got = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, j string").select("i", pd.media(F.col("j")).alias("m")).collect()
     assert [r.m and json.loads(r.m) for r in sorted(got)] == [{"sid": "ab-1", "type": "image", "w": 4, "dur": 2, "crop": [1, 0, 0.5, 0]}, None, None, None, None, {"sid": "a"}]
+
+
+def test_items_are_written_once(spark):
+    """Items come from the plan as it was given, not from the migrated plan written and parsed again, and their text is what writing them again gives."""
+    rows = spark.createDataFrame([(1, '{"fx":{"text":[{"preset":"stack","start":1e5,"end":100001,"own":{"k":2e3},"say":"\\u00f1\\"[x]\\\\"},"[\\u0001]"]}}')], "plan_id int, json string")
+    assert [r.item for r in pd.items(rows, ["plan_id"]).orderBy("i").collect()] == ['{"end":100001,"own":{"k":2000},"preset":"stack","say":"ñ\\"[x]\\\\","start":100000}', '"[\\u0001]"']
+    done = pd.normalised(rows, spark.createDataFrame(RULES, pd.CATALOG), DEFAULTS, ["plan_id"])[0]
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_concat" in plan and "map_concat" not in plan[plan.index("Generate inline"):]
+    item = json.loads(done.first().json)["fx"]["text"][0]
+    assert item["start"] == 100000 and item["own"] == {"k": 2000} and item["say"] == 'ñ"[x]\\'
