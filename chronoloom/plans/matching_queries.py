@@ -12,9 +12,15 @@ BY = ["plan_id"]
 INTRO, HONORIFIC, PARTICLES = ("the", "der", "la", "el", "le"), ("of", "de", "die"), ("and", "und", "et", "y", "de")
 
 
+#: What parts words, and what is neither that nor a letter or digit; half a surrogate pair is no character.
+SPACE = r" \t\n\x0b\f\r"
+OTHER = rf"[^\p{{L}}\p{{N}}\p{{Cs}}{SPACE}]"
+
+
 def keys(text):
-    """The words of a text in lower case, without anything but letters and digits at their ends."""
-    return F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\x0b\f\r]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
+    """The words of a text in lower case, without anything but letters and digits at their ends: runs of other characters go from the whole text where a word begins or ends, before it is split."""
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"(?={OTHER})(?:(?<![^{SPACE}]){OTHER}++|(?<!{OTHER}){OTHER}++(?![^{SPACE}]))", "")
+    return F.array_remove(F.split(bare, f"[{SPACE}]+"), "")
 
 
 def keyed_words(docs, *by):
